@@ -49,14 +49,28 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                got = step({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
+            for part in slices(batch):
+                got = step({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 if got is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
 
 
+#: A Python worker holds about so many bytes of rows at a time, or one row.
+SLICE_BYTES = 8 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Halves a batch until each part is small or a single row, so long texts don't pile up in a worker."""
+    if batch.num_rows > 1 and batch.nbytes > SLICE_BYTES:
+        half = batch.num_rows // 2
+        yield from slices(batch.slice(0, half))
+        yield from slices(batch.slice(half))
+    elif batch.num_rows:
+        yield batch
+
+
 def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

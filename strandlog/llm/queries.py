@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strandlog.llm import topk, url_filter
+from strandlog.llm import byte_bpe, topk, url_filter
 
 QUERIES = {
+    "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_topk": topk.op9_topk,
 }
