@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from strandlog.llm import byte_bpe, topk, url_filter
+from strandlog.llm import byte_bpe, decontaminate, token_store, topk, url_filter
 
 QUERIES = {
+    "op3_token_store": token_store.op3_token_store,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_topk": topk.op9_topk,
 }
 ORACLE_SQL = {
+    "op7_decontaminate": decontaminate.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
     "op9_topk": topk.ORACLE,
 }
