@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strandlog.llm import byte_bpe, decontaminate, token_store, topk, url_filter
+from strandlog.llm import byte_bpe, decontaminate, pii, token_store, topk, url_filter
 
 QUERIES = {
     "op3_token_store": token_store.op3_token_store,
+    "op4_pii": pii.op4_pii,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_url_filter": url_filter.op8_url_filter,

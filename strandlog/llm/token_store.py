@@ -129,10 +129,20 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
-        self.known = Memo(self._one)
+        self.model = self.library.model
+        self.known = Memo(self._word)
+        # the byte-level alphabet: visible Latin-1 characters stand for their own code, the others follow from 256 on
+        seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        hidden = [b for b in range(256) if b not in set(seen)]
+        self.alphabet = dict(zip(hidden, map(chr, range(256, 512)), strict=False))
 
-    def _one(self, word: str) -> bytes:
-        return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def _word(self, word: str) -> bytes:
+        """One word by the library's model, without its normaliser and splitter: they leave a single word as it is."""
+        letters = word.encode().decode("latin-1").translate(self.alphabet)
+        return np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+
+    def _text(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -140,7 +150,7 @@ class WordTokenizer:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return self._one(text)
+            return self._text(text)
         return b"".join(map(self.known.__getitem__, self.words.findall(text.lower())))
 
 
