@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strandlog.llm import byte_bpe, decontaminate, pii, token_store, topk, url_filter
+from strandlog.llm import byte_bpe, decontaminate, pii, simhash, token_store, topk, url_filter
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
     "op3_token_store": token_store.op3_token_store,
     "op4_pii": pii.op4_pii,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
