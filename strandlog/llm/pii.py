@@ -194,9 +194,12 @@ def _listed(spans: Column) -> Column:
 def digest(found: DataFrame, out_col: str = "pii") -> DataFrame:
     """The counts of the base kinds, a hash of the base spans and all spans as text."""
     kinds = [d.kind for d in DETECTORS if d.base]
-    count = [F.size(F.filter(out_col, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(out_col, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     base = F.filter(out_col, lambda x: x["kind"].isin(kinds))
-    return found.select("doc_id", *count, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col(out_col)).alias("spans"))
+    return found.select("doc_id", *map(count, kinds), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col(out_col)).alias("spans"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
