@@ -182,15 +182,16 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None = 1, id_col: str = "
     return map_rows(read, make, "doc_id long, n_tokens long, wide boolean, ids binary")
 
 
-def write(tokens: DataFrame, path: str) -> None:
+def write(tokens: DataFrame, path: str, ids: DataFrame | None = None) -> None:
     """Writes the result of tokenize() in ascending doc_id order (null first; equal ids by their tokens).
 
-    Buckets are quantiles of doc_id, found from the id column alone so that texts are encoded once; ids move in one
+    Buckets are quantiles of doc_id. They are found from `ids`, a table with the same doc_id that costs less to scan
+    (the documents: one column is read), so that texts are encoded once; ids move in one
     shuffle. A bucket is written as blocks of about BLOCK_TOKENS ids, streamed: no task holds more than a block.
     """
     spark = tokens.sparkSession
     count = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    quantiles = sorted(set(tokens.approxQuantile("doc_id", [i / count for i in range(1, count)], 0.2 / count)))
+    quantiles = sorted(set((tokens if ids is None else ids).select(F.col("doc_id").cast("long")).approxQuantile("doc_id", [i / count for i in range(1, count)], 0.2 / count)))
     edges = F.array(*[F.lit(int(q)) for q in quantiles]) if quantiles else F.array().cast("array<long>")
     bucket = F.coalesce(F.size(F.filter(edges, lambda e: e < F.col("doc_id"))), F.lit(0))
     placed = tokens.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
@@ -250,7 +251,8 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write(tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), path)
+    docs = table(spark, sf_dir, "documents")
+    write(tokenize(docs, public_tokenizers.path("word_bpe_49k.json")), path, docs)
     return digest(read(spark, path))
 
 
