@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from strandlog.llm import byte_bpe, decontaminate, pii, simhash, token_store, topk, url_filter
+from strandlog.llm import byte_bpe, decontaminate, langid, pii, quality, simhash, token_store, topk, url_filter
 
 QUERIES = {
+    "op1_langid": langid.op1_langid,
     "op2_simhash": simhash.op2_simhash,
     "op3_token_store": token_store.op3_token_store,
     "op4_pii": pii.op4_pii,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+    "op6_quality": quality.op6_quality,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_topk": topk.op9_topk,
