@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strandlog.llm import byte_bpe, decontaminate, langid, pii, quality, simhash, token_store, topk, url_filter
+from strandlog.llm import byte_bpe, decontaminate, langid, pii, quality, simhash, suffix_dedup, token_store, topk, url_filter
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op2_simhash": simhash.op2_simhash,
     "op3_token_store": token_store.op3_token_store,
     "op4_pii": pii.op4_pii,
