@@ -76,3 +76,34 @@ def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def append(df: DataFrame, make: Callable[[], Callable[[dict], dict]], inputs: dict[str, str], outputs: dict[str, str]) -> DataFrame:
+    """All rows and columns of df, with new columns computed from some of them in one narrow pass.
+
+    make() runs once in each worker task; the function it returns gets a dict of lists for the keys of `inputs` (key to column name)
+    and returns one for `outputs` (column name, which df must not have, to type).
+    """
+    from pyspark.sql.types import StructType
+
+    extra = StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in outputs.items()))
+    fields = list(_arrow_schema(df.sparkSession, ", ".join(f"`{n}` {t}" for n, t in outputs.items())))
+    at = {key: df.columns.index(name) for key, name in inputs.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make()
+        for batch in batches:
+            for part in slices(batch):
+                got = step({key: part.column(i).to_pylist() for key, i in at.items()})
+                new = [pa.array(got[f.name], f.type) for f in fields]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *outputs])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *extra.fields]))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import map_rows, table
+from strandlog.llm.common import append, free_name, map_rows, table
 
 WINDOW = 13
 #: Bytes of item text whose tables one pass holds; larger benchmarks take several passes.
@@ -127,17 +127,54 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     repeated under one id count once. Repeated documents and null ids each give a row; an empty table gives none, and
     an empty benchmark no hits. Other columns are not looked at.
     """
-    wanted = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
-    size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // BLOCK_BYTES) or 1
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    blocks = _blocks(items)
     state = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
-    for k in range(blocks):
-        block = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in wanted.where(part == k).collect()])
-        state = map_rows(state, _search(block, k == blocks - 1), SCHEMA if k == blocks - 1 else _STATE)
+    for k, block in enumerate(blocks):
+        last = k == len(blocks) - 1
+        state = map_rows(state, _search(block, last), SCHEMA if last else _STATE)
     return state
 
 
+def _blocks(items: DataFrame) -> list:
+    """Broadcasts of (item_id, text) lists with about BLOCK_BYTES of text each; at least one."""
+    wanted = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
+    size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = -(-size // BLOCK_BYTES) or 1
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
+    return [items.sparkSession.sparkContext.broadcast([tuple(r) for r in wanted.where(part == k).collect()]) for k in range(count)]
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose text isn't contaminated. Cases as in find_contamination."""
+    columns = docs.columns
+    hits, found, flag = (free_name(docs, n) for n in ("_hits", "_items", "_contaminated"))
+    state = docs.withColumn(hits, F.lit(None).cast("binary")).withColumn(found, F.lit(None).cast("array<string>"))
+    blocks = _blocks(items)
+    for k, block in enumerate(blocks):
+        last = k == len(blocks) - 1
+        inputs = {"text": text_col, "hits": hits, "items": found}
+        if last:
+            state = append(state, _renamed(_search(block, True), {flag: "contaminated"}), inputs, {flag: "boolean"})
+        else:
+            was = {free_name(state, hits + "x"): "hits", free_name(state, found + "x"): "items"}
+            state = append(state, _renamed(_search(block, False), was), inputs, dict(zip(was, ("binary", "array<string>"), strict=True))).drop(hits, found)
+            hits, found = was
+    return state.where(~F.col(flag)).select(*[F.col(f"`{c}`") for c in columns])
+
+
+def _renamed(make, names: dict[str, str]):
+    def made():
+        step = make()
+
+        def run(cols):
+            got = step(cols | {"doc_id": []})
+            return {new: got[old] for new, old in names.items()}
+
+        return run
+
+    return made
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import held_out, map_rows, table
+from strandlog.llm.common import append, free_name, held_out, map_rows, table
 
 #: Bounds of the training sample: the most frequent labels, texts for each (smallest hash of doc_id), their length.
 MAX_LANGS, PER_LANG, MAX_CHARS = 32, 300, 20_000
@@ -305,6 +305,24 @@ def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
     return map_rows(read, make, "doc_id long, lang_pred string, score double, shares array<double>")
 
 
+#: A text is rejected below this share of its best language.
+MIN_SCORE = 0.3
+
+
+def keep_known(docs: DataFrame, model: Crf, least: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose language is determined with a score of `least` or more.
+
+    Rejects texts without a letter (null and empty ones too) and mixtures without a leading language.
+    """
+    kept, keep = docs.sparkSession.sparkContext.broadcast(model), free_name(docs, "_known")
+
+    def make():
+        labeller = Labeller(kept.value)
+        return lambda cols: {keep: [lang != UNDETERMINED and score >= least for lang, score, _ in labeller.label(cols["text"])]}
+
+    return append(docs, make, {"text": text_col}, {keep: "boolean"}).where(F.col(keep)).drop(keep)
+
+
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import table
+from strandlog.llm.common import free_name, table
 
 #: Code points before and after a span that are searched for context words.
 NEAR = 40
@@ -187,6 +187,22 @@ def mask(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, let(F.struct(order.alias("s"), text.alias("t")), cut)).otherwise(text)
 
 
+def masked(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """All rows and columns of docs with personal data in the text replaced by [KIND]; `size_col`, if any, follows the text.
+
+    Rows without a finding keep their values, nulls included.
+    """
+    spans = free_name(docs, "_pii")
+    found = detect(docs, text_col, spans)
+    some = F.size(spans) > 0
+    out = {text_col: F.when(some, mask(F.col(text_col).cast("string"), F.col(spans))).otherwise(F.col(text_col))}
+    found = found.withColumns(out)
+    if size_col in docs.columns:
+        kind = docs.schema[size_col].dataType
+        found = found.withColumn(size_col, F.when(some, F.char_length(text_col)).otherwise(F.col(size_col)).cast(kind))
+    return found.drop(spans)
+
+
 def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 

@@ -124,5 +124,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose doc_id is the smallest of its group of near-duplicates.
+
+    Rows that repeat a kept doc_id are the same document and stay. Rows with a null id can't be told apart: they stay if
+    one of them belongs to a group without an id, else all go with the group's first document.
+    """
+    stay = near_duplicates(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(stay, docs[id_col].cast("long").eqNullSafe(stay["_kept_id"]), "left_semi")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
