@@ -35,10 +35,13 @@ def hash_ids(ids: Iterable[str]) -> str:
     return hashlib.sha3_256("".join(ids).encode()).hexdigest()
 
 
-@F.pandas_udf(T.StringType())
-def hash_id_column(joined: pd.Series) -> pd.Series:
-    """hash_ids for a column of already concatenated ids; Spark has no SHA-3."""
-    return joined.map(lambda s: None if s is None else hashlib.sha3_256(s.encode()).hexdigest())
+def hash_id_column(joined: Column) -> Column:
+    """hash_ids for a column of already concatenated ids; Spark has no SHA-3, so this is an Arrow-batched function."""
+
+    def run(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda s: None if s is None else hashlib.sha3_256(s.encode()).hexdigest())
+
+    return F.pandas_udf(run, T.StringType())(joined)
 
 
 def ulid(now: float | None = None) -> str:

@@ -56,9 +56,10 @@ def gap_check(log: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 def conflicts(batch: DataFrame, log: DataFrame) -> DataFrame:
     """Batch rows whose identity the log has already, or that another row of the batch has."""
-    taken = batch.join(log.select(*IDENTITY), list(IDENTITY), "left_semi")
-    twice = batch.join(batch.groupBy(*IDENTITY).count().where(F.col("count") > 1).select(*IDENTITY), list(IDENTITY), "left_semi")
-    return taken.unionByName(twice).distinct()
+    keys = list(IDENTITY)
+    taken = batch.join(log.select(*keys), keys, "left_semi").select(*keys)
+    twice = batch.groupBy(*keys).count().where(F.col("count") > 1).select(*keys)
+    return batch.join(taken.unionByName(twice), keys, "left_semi")
 
 
 def unhandled(log: DataFrame, handled: Sequence[str]) -> DataFrame:

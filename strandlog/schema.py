@@ -54,7 +54,14 @@ class EventSpec:
 
     aggregator_type: str
     name: str
-    payload: T.StructType
+    payload: str | T.StructType
+
+    @property
+    def schema(self) -> T.StructType:
+        """The payload's type; DDL text is parsed here, which needs a session."""
+        if isinstance(self.payload, T.StructType):
+            return self.payload
+        return T.StructType.fromDDL(self.payload) if self.payload else T.StructType()
 
 
 class Aggregate:
@@ -62,7 +69,7 @@ class Aggregate:
 
     def __init__(self, aggregator_type: str, **events: str | T.StructType):
         self.aggregator_type = aggregator_type
-        self.events = {n: EventSpec(aggregator_type, n, p if isinstance(p, T.StructType) else T.StructType.fromDDL(p) if p else T.StructType()) for n, p in events.items()}
+        self.events = {n: EventSpec(aggregator_type, n, p) for n, p in events.items()}
 
     def __getattr__(self, name: str) -> EventSpec:
         try:
