@@ -396,11 +396,28 @@ def resolve(wanted: dict[str, np.ndarray], data: np.ndarray) -> dict[str, np.nda
     return merge({"doc": doc[own], "part": part[own], "start": start[own].astype(np.uint32), "n": np.ones(len(own), np.uint32)})
 
 
+#: Strings sorted at a time, or those of one k-gram.
+SORTED = 200_000
+
+
 def _resolve(buckets: int):
     def finish(bucket, rows):
         wanted = unpack([p for _, p, _ in rows], WANTED)
-        # texts lie in the order of the payloads
-        repeats = resolve(wanted, np.frombuffer(b"".join(t for *_, t in rows), np.uint8))
+        text = b"".join(t for *_, t in rows)  # in the order of the payloads
+        sizes = wanted["n"].astype(np.int64) + LENGTH - 1
+        begin = np.cumsum(sizes) - sizes
+        order = np.argsort(wanted["k"], kind="stable")
+        key, reach = wanted["k"][order], np.cumsum(wanted["n"][order].astype(np.int64))
+        ends = np.flatnonzero(np.append(key[1:] != key[:-1], True)) + 1
+        found, a = [], 0
+        while a < len(order):
+            limit = (reach[a - 1] if a else 0) + SORTED
+            b = int(ends[max(np.searchsorted(reach[ends - 1], limit, side="right") - 1, np.searchsorted(ends, a, side="right"))])
+            some = order[a:b]
+            data = b"".join(text[s : s + n] for s, n in zip(begin[some].tolist(), sizes[some].tolist(), strict=True))
+            found.append(resolve(take(wanted, some), np.frombuffer(data, np.uint8)))
+            a = b
+        repeats = merge({n: np.concatenate([f[n] for f in found]) for n, _ in REPEAT})
         yield _batch(list(_by(target(repeats["doc"], buckets), repeats, REPEAT, _REPEATS)))
 
     return lambda batches: _runs(batches, finish)
@@ -443,7 +460,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     at.
     """
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a task packs a row for each, so not more than tasks
     read = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     read = read.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
     sign = F.xxhash64(F.col("doc_id").isNull(), "text")
