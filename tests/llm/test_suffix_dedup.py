@@ -70,6 +70,26 @@ def test_target(spark):
     assert suffix_dedup.target(np.array(ids), 13).tolist() == want
 
 
+def test_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SORTED", 50)
+    rng = np.random.default_rng(8)
+    data, wanted = [], {n: [] for n, _ in suffix_dedup.WANTED}
+    for i in range(60):
+        text = bytes(rng.integers(97, 99, 3).astype(np.uint8)) * 40
+        data.append(text[:119])
+        for n, v in zip(wanted, (i % 4, i, 0, 0, 20, 0), strict=True):
+            wanted[n].append(v)
+    cols = {n: np.array(wanted[n]).astype(t) for n, t in suffix_dedup.WANTED}
+    whole = suffix_dedup.resolve(cols, np.frombuffer(b"".join(data), np.uint8))
+    row = [0, suffix_dedup.pack(cols, suffix_dedup.WANTED), b"".join(data)]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), *(pa.array([x]) for x in row)], ["bucket", "kind", "payload", "text"])
+    out = list(suffix_dedup._resolve(1)([batch]))
+    got = suffix_dedup.unpack(out[0].column("payload").to_pylist(), suffix_dedup.REPEAT)
+    assert all((got[n] == whole[n]).all() for n, _ in suffix_dedup.REPEAT) and len(got["doc"])
+
+
 def test_sorter():
     rng = np.random.default_rng(4)
     data = rng.integers(97, 99, 6000).astype(np.uint8)
