@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlog.llm.byte_bpe import _LETTER, _NUMBER, _SPACE, Memo
@@ -220,8 +220,11 @@ def write(tokens: DataFrame, path: str, ids: DataFrame | None = None) -> None:
     placed.mapInArrow(run, "bucket int, seq int, n_docs int, n_tokens long, payload binary").write.parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids (binary, 32-bit) of a stored table."""
+def read(spark: SparkSession, path: str, **derived: Column) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids (binary, 32-bit) of a stored table.
+
+    Columns `derived` from the ids replace them; they are computed before the ids could move.
+    """
     stored = spark.read.parquet(path)
 
     def run(batches):
@@ -238,12 +241,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         )
 
     docs = stored.select("bucket", "seq", "payload").mapInArrow(run, "bucket int, seq int, doc_id long, offset long, n_tokens long, ids binary")
+    docs = docs.select("bucket", "seq", "doc_id", "offset", "n_tokens", *([c.alias(n) for n, c in derived.items()] or ["ids"]))
     sums = stored.groupBy("bucket", "seq").agg(F.sum("n_tokens").alias("n"))
     within = sums.withColumn("inner", F.sum("n").over(Window.partitionBy("bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)))
     # one row for each bucket, so their running sum is small at any size
     buckets = stored.groupBy("bucket").agg(F.sum("n_tokens").alias("n")).select("bucket", F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("outer"))
     base = within.join(buckets, "bucket").select("bucket", "seq", (F.coalesce("inner", F.lit(0)) + F.coalesce("outer", F.lit(0))).alias("base"))
-    return docs.join(base, ["bucket", "seq"]).select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids")
+    return docs.join(base, ["bucket", "seq"]).select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", *(derived or ["ids"]))
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,11 +257,7 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     write(tokenize(docs, public_tokenizers.path("word_bpe_49k.json")), path, docs)
-    return digest(read(spark, path))
-
-
-def digest(stored: DataFrame) -> DataFrame:
-    return stored.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read(spark, path, ids_crc32=F.crc32("ids"))
 
 
-__all__ = ["DacReader", "DacWriter", "WordTokenizer", "digest", "op3_token_store", "open_block", "pack_block", "read", "tokenize", "write"]
+__all__ = ["DacReader", "DacWriter", "WordTokenizer", "op3_token_store", "open_block", "pack_block", "read", "tokenize", "write"]
