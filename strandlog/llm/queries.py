@@ -17,6 +17,7 @@ QUERIES = {
     "op9_topk": topk.op9_topk,
 }
 ORACLE_SQL = {
+    "op10_suffix_dedup": suffix_dedup.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
     "op9_topk": topk.ORACLE,

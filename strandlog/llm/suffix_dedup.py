@@ -506,3 +506,21 @@ def _frequent(texts: DataFrame, rows: int) -> np.ndarray:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: For tables with one row for each doc_id: every string of LENGTH bytes, as hex, with all places it starts at.
+ORACLE = f"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+strings as (select doc_id, i, substr(h, 2 * i + 1, {2 * LENGTH}) as s from (select doc_id, h, unnest(range(0, greatest(length(h) // 2 - {LENGTH - 1}, 0))) as i from d)),
+repeats as (select doc_id, i from (select doc_id, i, row_number() over (partition by s order by doc_id, i) as r from strings) where r > 1),
+marked as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= {LENGTH} then 0 else 1 end as head from repeats),
+runs as (
+  select doc_id, run, min(i) as a, max(i) + {LENGTH} as b
+  from (select doc_id, i, sum(head) over (partition by doc_id order by i) as run from marked) group by 1, 2),
+pieces as (
+  select doc_id, run, b - a as n, substr(h, 2 * done + 1, 2 * (a - done)) as piece, b
+  from (select *, coalesce(lag(b) over (partition by doc_id order by run), 0) as done from runs) join d using (doc_id)),
+kept as (select doc_id, count(*) as n_spans, sum(n) as n_removed, string_agg(piece, '' order by run) as front, max(b) as done from pieces group by 1)
+select doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(done, 0) + 1))) as kept_sha256
+from d left join kept using (doc_id)"""
