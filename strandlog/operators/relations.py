@@ -43,9 +43,9 @@ def last_routing_key(log: DataFrame) -> DataFrame:
 
 
 def event_lag(log: DataFrame) -> DataFrame:
-    """Each event with the seconds between it and the newest one, at least 0. The newest time is one row, broadcast."""
-    newest = log.agg(F.max("timestamp").alias("_newest"))
-    return log.join(F.broadcast(newest)).withColumn("lag_seconds", F.greatest(F.col("_newest") - F.col("timestamp"), F.lit(0))).drop("_newest")
+    """Each event with the seconds between it and the newest one, at least 0. The newest time is a scalar subquery."""
+    newest = log.agg(F.max("timestamp")).scalar()
+    return log.withColumn("lag_seconds", F.greatest(newest - F.col("timestamp"), F.lit(0)))
 
 
 def gap_check(log: DataFrame, by: Sequence[str] = BY) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from strandlog.operators import fold, relations
-from strandlog.plans import catalogue
+from strandlog.plans import catalogue, stored
 from strandlog.schema import EVENT
 
 SF = "/root/testdata/sf0.001"
@@ -23,9 +23,10 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL | stored.ORACLE_SQL))
 def test_query(spark, duck, name):
-    got, want = catalogue.QUERIES[name](spark, SF).toPandas(), duck.execute(catalogue.ORACLE_SQL[name]).df()
+    got = (catalogue.QUERIES | stored.QUERIES)[name](spark, SF).toPandas()
+    want = duck.execute((catalogue.ORACLE_SQL | stored.ORACLE_SQL)[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     key = lambda r: tuple((v is None, str(type(v)) if v is None else "", v if v is not None else 0) for v in r)
     rows = [sorted((tuple(None if v is None or v != v else v.item() if hasattr(v, "item") else v for v in r) for r in d[sorted(d.columns)].itertuples(index=False)), key=key) for d in (got, want)]
