@@ -29,7 +29,7 @@ def test_query(spark, duck, name):
     want = duck.execute((catalogue.ORACLE_SQL | stored.ORACLE_SQL)[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     key = lambda r: tuple((v is None, str(type(v)) if v is None else "", v if v is not None else 0) for v in r)
-    rows = [sorted((tuple(None if v is None or v != v else v.item() if hasattr(v, "item") else v for v in r) for r in d[sorted(d.columns)].itertuples(index=False)), key=key) for d in (got, want)]
+    rows = [sorted((tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in r) for r in d[sorted(d.columns)].itertuples(index=False)), key=key) for d in (got, want)]
     assert rows[0] == rows[1]
 
 
