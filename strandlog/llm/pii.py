@@ -124,10 +124,10 @@ DETECTORS = (
     ),
     Detector("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", lambda m: F.length(_digits(m)).between(9, 15), True, 0.7, ("phone", "tel", "call", "mobile", "fax")),
     Detector(
-        "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "", mod97, False, 0.7, ("iban", "account", "bank", "konto", "compte", "cuenta")
+        "iban", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])", "", mod97, False, 0.7, ("iban", "account", "bank", "konto", "compte", "cuenta")
     ),
     Detector(
-        "localphone", r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])", "", lambda m: F.lit(True), False, 0.4, ("phone", "tel", "call", "mobile", "fax", "telefon", "téléphone", "teléfono")
+        "localphone", r"(?<![0-9A-Za-z+._-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z_])", "", lambda m: F.lit(True), False, 0.4, ("phone", "tel", "call", "mobile", "fax", "telefon", "téléphone", "teléfono")
     ),
 )
 _SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
@@ -222,3 +222,57 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated rows and null ids each give a row; an empty table gives none."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return digest(detect(docs))
+
+
+def _sql() -> str:
+    """The same in DuckDB: matches and gaps of the plain patterns, laid end to end."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[ -]?[0-9])+",
+        "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+        "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+        "localphone": r"(?:^|[^0-9A-Za-z+._-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}\b",
+    }
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    number = f"list_transform(range(1, length({digits}) + 1), lambda i: substr(reverse({digits}), i, 1)::int * (2 - i % 2))"
+    short = "replace(m, ' ', '')"
+    turned = f"list_transform(list_filter(string_split(substr({short}, 5) || left({short}, 4), ''), lambda c: c <> ''), lambda c: case when c between '0' and '9' then ascii(c) - 48 else ascii(c) - 55 end)"
+    valid = {
+        "ip": "list_max(list_transform(string_split(m, '.'), lambda p: p::hugeint)) <= 255",
+        "card": f"length({digits}) between 13 and 19 and list_sum(list_transform({number}, lambda v: case when v > 9 then v - 9 else v end)) % 10 = 0",
+        "phone": f"length({digits}) between 9 and 15",
+        "iban": f"length({short}) between 15 and 34 and list_reduce(list_prepend(0, {turned}), lambda a, v: (a * case when v > 9 then 100 else 10 end + v) % 97) = 1",
+    }
+    parts = []
+    for rank, d in enumerate(DETECTORS):
+        p, near = plain[d.kind], "(?i)(?:^|[^\\pL])(?:" + "|".join(d.context) + ")(?:$|[^\\pL])"
+        # that pattern takes in the character before; a bracket at the text's start belongs to the number
+        lead = "case when left(m, 1) between '0' and '9' or (left(m, 1) = '(' and e = length(m) and substr(m, 2, 1) <> '(') then 0 else 1 end" if d.kind == "localphone" else "0"
+        parts.append(
+            f"""select row_id, {rank} as rank, '{d.kind}' as kind, {d.base} as base, s as a, e as b from (
+  select *, {d.score} + case when regexp_matches(substr(t, greatest(s + 1 - {NEAR}, 1), least(s, {NEAR})) || ' \n ' || substr(t, e + 1, {NEAR}), '{near}') then {d.bonus} else 0 end as score from (
+    select row_id, t, m, e - length(m) + {lead} as s, e from (
+      select row_id, t, m, (sum(length(gap) + length(m)) over (partition by row_id order by i))::bigint as e from (
+        select row_id, t, generate_subscripts(ms, 1) as i, unnest(ms) as m, unnest(gaps[1:len(ms)]) as gap
+        from (select row_id, t, regexp_extract_all(t, '{p}') as ms, string_split_regex(t, '{p}') as gaps from d) where len(ms) > 0))
+    where {valid.get(d.kind, "true")}))
+where {"true" if d.base else f"score >= {LEAST}"}"""
+        )
+    kinds = [d.kind for d in DETECTORS if d.base]
+    counts = ", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in kinds)
+    zeros = ", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in kinds)
+    return f"""
+with d as (select row_number() over () as row_id, doc_id, coalesce(text, '') as t from documents),
+found as ({" union all ".join(parts)}),
+kept as (select * from found f where base or not exists (select 1 from found g where g.row_id = f.row_id and g.base and g.a < f.b and f.a < g.b)),
+sums as (
+  select row_id, {counts},
+    string_agg(kind || ':' || a::bigint || ':' || b::bigint, ',' order by rank, a) filter (base) as listed,
+    string_agg(kind || ':' || a::bigint || ':' || b::bigint, ',' order by rank, a) as spans
+  from kept group by 1)
+select doc_id, {zeros}, sha256(coalesce(listed, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join sums using (row_id)"""
+
+
+ORACLE = _sql()

@@ -18,6 +18,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op10_suffix_dedup": suffix_dedup.ORACLE,
+    "op4_pii": pii.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
     "op9_topk": topk.ORACLE,
