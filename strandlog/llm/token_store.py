@@ -130,7 +130,7 @@ class WordTokenizer:
         self.library.encode_special_tokens = True
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
         self.model = self.library.model
-        self.known = Memo(self._word)
+        self.known = Memo(self._word, 400_000)
         # the byte-level alphabet: visible Latin-1 characters stand for their own code, the others follow from 256 on
         seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         hidden = [b for b in range(256) if b not in set(seen)]
@@ -159,15 +159,25 @@ def load(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+def quantiles(docs: DataFrame, id_col: str = "doc_id") -> list[int]:
+    """Bounds of doc_id ranges of about equal numbers of rows, three for each shuffle partition; reads that column only."""
+    count = 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = docs.select(docs[id_col].cast("long").alias("id")).approxQuantile("id", [i / count for i in range(1, count)], 0.2 / count)
+    return sorted({int(q) for q in found})
+
+
 def tokenize(docs: DataFrame, path: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian, 16-bit if `wide` is false, else 32-bit) of each document, the end id appended."""
+    """doc_id, bucket (its range by quantiles), n_tokens and ids (little-endian, 16-bit if `wide` is false, else 32-bit) of each
+    document, the end id appended."""
+    bounds = np.array(quantiles(docs, id_col), np.int64)
 
     def make():
         coder = load(path)
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
         def step(cols):
-            out = {"doc_id": cols["doc_id"], "n_tokens": [], "wide": [], "ids": []}
+            bucket = [0 if d is None else int(np.searchsorted(bounds, d)) for d in cols["doc_id"]]
+            out = {"doc_id": cols["doc_id"], "bucket": bucket, "n_tokens": [], "wide": [], "ids": []}
             for text in cols["text"]:
                 ids = np.frombuffer(coder.encode(text) + end, "<u4")
                 wide = bool(len(ids) and ids.max() > 65535)
@@ -179,22 +189,16 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None = 1, id_col: str = "
         return step
 
     read = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return map_rows(read, make, "doc_id long, n_tokens long, wide boolean, ids binary")
+    return map_rows(read, make, "doc_id long, bucket int, n_tokens long, wide boolean, ids binary")
 
 
-def write(tokens: DataFrame, path: str, ids: DataFrame | None = None) -> None:
+def write(tokens: DataFrame, path: str) -> None:
     """Writes the result of tokenize() in ascending doc_id order (null first; equal ids by their tokens).
 
-    Buckets are quantiles of doc_id. They are found from `ids`, a table with the same doc_id that costs less to scan
-    (the documents: one column is read), so that texts are encoded once; ids move in one
-    shuffle. A bucket is written as blocks of about BLOCK_TOKENS ids, streamed: no task holds more than a block.
+    Ids move in one shuffle, by bucket. A bucket is written as blocks of about BLOCK_TOKENS ids, streamed: no task holds more
+    than a block.
     """
-    spark = tokens.sparkSession
-    count = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    quantiles = sorted(set((tokens if ids is None else ids).select(F.col("doc_id").cast("long")).approxQuantile("doc_id", [i / count for i in range(1, count)], 0.2 / count)))
-    edges = F.array(*[F.lit(int(q)) for q in quantiles]) if quantiles else F.array().cast("array<long>")
-    bucket = F.coalesce(F.size(F.filter(edges, lambda e: e < F.col("doc_id"))), F.lit(0))
-    placed = tokens.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
+    placed = tokens.repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
     names = {"bucket": pa.int32(), "seq": pa.int32(), "n_docs": pa.int32(), "n_tokens": pa.int64(), "payload": pa.binary()}
 
     def run(batches):
@@ -255,8 +259,7 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    write(tokenize(docs, public_tokenizers.path("word_bpe_49k.json")), path, docs)
+    write(tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), path)
     return read(spark, path, ids_crc32=F.crc32("ids"))
 
 

@@ -139,7 +139,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, slices: int = SLICE
     rows = quantise(vectors, id_col, vec_col)
     chunks = _pack(rows, CHUNK).select("dim", F.col("n").alias("cn"), F.col("ids").alias("cids"), F.col("vals").alias("cvals"))
     chunks = cut(chunks.withColumn("salt", F.pmod(F.xxhash64("cids"), F.lit(1 << 20)).cast("int")))
-    salts = max(1, min(chunks.count(), 64))
+    salts = max(1, min(chunks.count(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     chunks = chunks.withColumn("salt", F.col("salt") % salts)
     blocks = cut(_pack(rows.where(is_query).dropDuplicates(["id"]), QUERIES).withColumn("block", F.xxhash64("ids")))
     spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")

@@ -103,7 +103,7 @@ def test_codes(high):
 
 def test_store(spark, odd, words, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
-    token_store.write(token_store.tokenize(odd, path), str(tmp_path / "t"), odd)
+    token_store.write(token_store.tokenize(odd, path), str(tmp_path / "t"))
     got = token_store.read(spark, str(tmp_path / "t")).orderBy("start").collect()
     want, start = [], 0
     coded = [(d, words.library.encode(t or "", add_special_tokens=False).ids + [1]) for d, t, *_ in ODD]
@@ -113,7 +113,7 @@ def test_store(spark, odd, words, tmp_path):
     assert [(r["doc_id"], r["start"], r["n_tokens"], bytes(r["ids"])) for r in got] == want
     crc = token_store.read(spark, str(tmp_path / "t"), crc=F.crc32("ids")).orderBy("start").collect()
     assert [r["crc"] for r in crc] == [zlib.crc32(w[3]) for w in want]
-    token_store.write(token_store.tokenize(odd.limit(0), path), str(tmp_path / "e"), odd.limit(0))
+    token_store.write(token_store.tokenize(odd.limit(0), path), str(tmp_path / "e"))
     assert token_store.read(spark, str(tmp_path / "e")).count() == 0
 
 
