@@ -154,7 +154,7 @@ def pages(df: DataFrame, size: int, order: str = ASC, spec: CursorSpec = EVENTS)
         raise ValueError("page size")
     down = order == DESC
     first, first_down = spec.directions(down)[0]
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     part = F.lit(0)
     if isinstance(df.schema[first].dataType, NumericType):
         edges = sorted(set(df.select(F.col(first).cast("double")).approxQuantile(first, [i / ranges for i in range(1, ranges)], 0.2 / ranges)))

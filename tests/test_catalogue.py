@@ -59,3 +59,17 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("cut", [0, 1704100000, 1705276800, 1706000000, 4000000000])
+def test_snapshot_and_tail(spark, cut):
+    """A fold resumed from snapshots at any cut is the full fold."""
+    from pyspark.sql import functions as F
+
+    events = catalogue._amounts(spark, SF)
+    at = fold.algebraic(events.where(F.col("timestamp") < cut), fold.BY, at=fold.last(F.struct(*fold.EVENT_KEY)), held=F.sum("amount"))
+    snapshots = at.select(*fold.BY, "held", *[F.col(f"at.{k}").alias(f"at_{k}") for k in fold.EVENT_KEY])
+    tail = relations.after_cursor(events, snapshots).groupBy(*fold.BY).agg(F.sum("amount").alias("more"))
+    both = snapshots.join(tail, list(fold.BY), "full").select("aggregator_id", (F.coalesce("held", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("total"))
+    want = events.groupBy("aggregator_id").agg(F.sum("amount").alias("total"))
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, want.collect()))
