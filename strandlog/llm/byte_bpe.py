@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from strandlog.llm.common import map_rows, table
 
-#: Entries of the memo tables of a worker, which are emptied when full: speed only, never results.
-MEMO = 400_000
+#: Entries of a memo table, which is emptied when full: speed only, never results.
+MEMO = 200_000
 #: White space of the Rust and `regex` dialects; Python's `re` also counts 0x1C to 0x1F.
 _SPACE = "\\t-\\r \\x85\\xa0"
 _LETTER = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
@@ -37,12 +37,12 @@ def _latin(pattern: str) -> re.Pattern:
 class Memo(dict):
     """A dict that computes missing values and is emptied when full."""
 
-    def __init__(self, compute):
+    def __init__(self, compute, size: int = MEMO):
         super().__init__()
-        self.compute = compute
+        self.compute, self.size = compute, size
 
     def __missing__(self, key):
-        if len(self) >= MEMO:
+        if len(self) >= self.size:
             self.clear()
         got = self[key] = self.compute(key)
         return got
@@ -195,6 +195,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def make():
         bpe = load(path, pattern)
+        bpe.pieces.clear()  # workers live on and take other tasks
 
         def step(cols):
             ids = [bpe.encode(t) for t in cols["text"]]

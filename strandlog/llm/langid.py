@@ -25,7 +25,9 @@ MAX_LANGS, PER_LANG, MAX_CHARS = 32, 300, 20_000
 SEQUENCES, PIECES, PIECE = 700, (1, 3), (2, 24)
 EPOCHS, BATCH, RATE = 4, 128, 0.3
 #: Words of a text run that are processed side by side, and memoised words of a worker (speed only).
-STEP, MEMO = 96, 300_000
+STEP, MEMO = 96, 200_000
+#: Characters of texts labelled together, and words of a longer text held at a time.
+TOGETHER, BLOCK = 1_500_000, 250_000
 UNDETERMINED = "und"
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 #: Rows of the hashed weight table; the first ones are kept for word length and lexicon labels.
@@ -87,20 +89,27 @@ class Crf:
 
 
 def marginals(emissions: np.ndarray, first: np.ndarray, transitions: np.ndarray, starts: np.ndarray, step: int = STEP) -> np.ndarray:
-    """Label marginals of words laid end to end; `first` marks the words that begin a text.
+    """Label marginals of words laid end to end; `first` marks the words that begin a text."""
+    return _pass(emissions, first, transitions, starts, step)[0]
+
+
+def _pass(emissions, first, transitions, starts, step, before=None, behind=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals, the message after the last word and the one before the first, given those from outside (None: none).
 
     Exact forward-backward. The words are cut into runs of `step`; the runs' transfer matrices are multiplied side by side, a short
     scan over the runs gives the messages at their borders, and these are carried through all runs at once. A text's
     first word has a transfer matrix that forgets what stands before it.
     """
     total, k = emissions.shape
+    none = np.full(k, 1 / k)
     if not total:
-        return np.zeros((0, k))
+        return np.zeros((0, k)), none, none
     runs = -(-total // step)
     pad = runs * step - total
     local = np.exp(emissions - emissions.max(axis=1, keepdims=True))
+    real = np.concatenate([np.ones(total, bool), np.zeros(pad, bool)]).reshape(runs, step).T
     local = np.concatenate([local, np.ones((pad, k))]).reshape(runs, step, k).transpose(1, 0, 2)
-    begins = np.concatenate([first, np.ones(pad, bool)]).reshape(runs, step).T
+    begins = np.concatenate([first, np.zeros(pad, bool)]).reshape(runs, step).T
     move, start = np.exp(transitions - transitions.max()), np.exp(starts - starts.max())
 
     def unit(x: np.ndarray, axes) -> np.ndarray:
@@ -109,9 +118,9 @@ def marginals(emissions: np.ndarray, first: np.ndarray, transitions: np.ndarray,
     product = np.broadcast_to(np.eye(k), (runs, k, k))
     for t in range(step):
         moved = np.where(begins[t][:, None, None], product.sum(axis=2, keepdims=True) * start, product @ move)
-        product = unit(moved * local[t][:, None, :], (1, 2))
+        product = np.where(real[t][:, None, None], unit(moved * local[t][:, None, :], (1, 2)), product)
     ahead, back = np.empty((runs, k)), np.empty((runs, k))
-    alpha, beta = np.full(k, 1 / k), np.full(k, 1 / k)
+    alpha, beta = none if before is None else before, none if behind is None else behind
     for r in range(runs):
         ahead[r] = alpha
         alpha = unit(alpha @ product[r], 0)
@@ -120,13 +129,14 @@ def marginals(emissions: np.ndarray, first: np.ndarray, transitions: np.ndarray,
     forward = np.empty((step, runs, k))
     for t in range(step):
         moved = np.where(begins[t][:, None], start, ahead @ move)
-        ahead = forward[t] = unit(moved * local[t], 1)
+        ahead = forward[t] = np.where(real[t][:, None], unit(moved * local[t], 1), ahead)
     out = np.empty((step, runs, k))
     for t in range(step - 1, -1, -1):
         out[t] = unit(forward[t] * back, 1)
         sent = local[t] * back
-        back = unit(np.where(begins[t][:, None], (sent * start).sum(axis=1, keepdims=True), sent @ move.T), 1)
-    return out.transpose(1, 0, 2).reshape(-1, k)[:total]
+        sent = unit(np.where(begins[t][:, None], (sent * start).sum(axis=1, keepdims=True), sent @ move.T), 1)
+        back = np.where(real[t][:, None], sent, back)
+    return out.transpose(1, 0, 2).reshape(-1, k)[:total], alpha, beta
 
 
 def train(texts: list[tuple[str, str]], seed: int = 7) -> Crf:
@@ -240,8 +250,8 @@ class Labeller:
         if words:
             self.table = np.concatenate([self.table, self.model.emissions([w for _, w in words])])
 
-    def emissions(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of all words with a letter, and how many each text has."""
+    def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of all words with a letter, and how many each text has."""
         split = [t.lower().replace(".", " ").replace(",", " ").replace("!", " ").replace("\x02", " ").split() if t else [] for t in texts]
         tokens = [t for words in split for t in words]
         self.learn(set(tokens))
@@ -249,25 +259,51 @@ class Labeller:
         ends = np.cumsum([len(words) for words in split])
         word = at >= 0
         before = np.concatenate([[0], np.cumsum(word)])
-        return self.table[at[word]], np.diff(before[np.concatenate([[0], ends])])
+        return at[word], np.diff(before[np.concatenate([[0], ends])])
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[float]]]:
-        """(language, score, expected share of each language) of each text."""
-        langs = self.model.langs
+        """(language, score, expected share of each language) of each text, some texts at a time."""
+        langs, out, a = self.model.langs, [], 0
         if not langs:
             return [(UNDETERMINED, 0.0, [])] * len(texts)
-        scores, sizes = self.emissions(texts)
+        while a < len(texts):
+            size, b = 0, a
+            while b < len(texts) and (b == a or size + len(texts[b] or "") <= TOGETHER):
+                size += len(texts[b] or "")
+                b += 1
+            out += self._label(texts[a:b])
+            a = b
+        return out
+
+    def _label(self, texts: list[str | None]) -> list[tuple[str, float, list[float]]]:
+        langs = self.model.langs
+        rows, sizes = self.words(texts)
         begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int)
         some = sizes > 0
-        first = np.zeros(len(scores), bool)
-        first[begin[some]] = True
-        each = marginals(scores, first, self.model.transitions, self.model.starts)
         shares = np.zeros((len(texts), len(langs)))
-        if len(each):
+        if len(texts) == 1 and len(rows) > BLOCK:
+            shares[0] = self._long(rows) / len(rows)
+        elif len(rows):
+            first = np.zeros(len(rows), bool)
+            first[begin[some]] = True
+            each = marginals(self.table[rows], first, self.model.transitions, self.model.starts)
             shares[some] = np.add.reduceat(each, begin[some], axis=0) / sizes[some][:, None]
         best = shares.argmax(axis=1)
         return [(langs[b], min(1.0, float(s[b])), s.tolist()) if ok else (UNDETERMINED, 0.0, []) for b, s, ok in zip(best, shares, some, strict=True)]
 
+    def _long(self, rows: np.ndarray) -> np.ndarray:
+        """Expected words of each label in one text, exactly, block by block: forward for the messages between blocks, then back."""
+        blocks = [rows[i : i + BLOCK] for i in range(0, len(rows), BLOCK)]
+        first = [np.arange(len(b)) == (0 if i == 0 else -1) for i, b in enumerate(blocks)]
+        ahead, behind, total = [None], None, np.zeros(len(self.model.langs))
+        model = (self.model.transitions, self.model.starts, STEP)
+        for b, f in zip(blocks[:-1], first, strict=False):
+            ahead.append(_pass(self.table[b], f, *model, ahead[-1])[1])
+        for b, f, message in zip(blocks[::-1], first[::-1], ahead[::-1], strict=True):
+            each, _, behind = _pass(self.table[b], f, *model, message, behind)
+            total += each.sum(axis=0)
+        return total
+
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Crf:
     """Trains on a bounded sample of learnable rows (see held_out) with a lang and a text: at most MAX_LANGS * PER_LANG texts."""
