@@ -164,3 +164,24 @@ def test_ids():
     assert scalars.hash_ids(["ab", "c"]) == scalars.hash_ids(["a", "bc"]) and len(scalars.hash_ids(["x"])) == 64
     many = [scalars.ulid() for _ in range(2000)]
     assert many == sorted(many) and len(set(many)) == 2000 and {len(i) for i in many} == {26}
+
+
+def test_hadoop_paths(spark, tmp_path):
+    """The same protocol through Hadoop's file system interface."""
+    from strandlog.streaming.subscription import Subscription
+
+    store = EventStore(spark, f"file:{tmp_path}/h")
+    assert store.files.local is None and store.version() == -1
+    a = store.create().event(THING.Made, n=1).commit()
+    store.aggregate(a).original_version(1).event(THING.Changed, n=2).commit()
+    with pytest.raises(FileExistsError):
+        store.files.create("log/" + "1".rjust(20, "0") + ".json", "{}")
+    with pytest.raises(InvalidOriginalVersion):
+        store.aggregate(a).original_version(1).event(THING.Changed, n=3).commit()
+    store.upsert_subscriber("k", "w")
+    store.acknowledge("k", "c", 1)
+    store.upsert_subscriber("k", "v")
+    assert store.get_cursor("k") == "c" and store.is_running("k", "v")
+    seen = []
+    Subscription(store, "s").on_all("t/Thing", lambda e: seen.append(e["version"]), each=True).execute()
+    assert seen == [1, 2] and store.get_cursor("s")
