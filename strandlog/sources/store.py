@@ -24,6 +24,10 @@ from strandlog.schema import EVENT, EVENT_COLUMNS, IDENTITY, MAX_VERSION, SCHEMA
 from strandlog.sources.files import Files
 
 
+#: Commits to so many aggregates at most are checked against these aggregates' rows only.
+FEW = 500
+
+
 class WriteError(Exception):
     """A commit that was not made."""
 
@@ -175,6 +179,9 @@ class EventStore(Store):
     def _check(self, batch: DataFrame, log: DataFrame, strict: bool) -> None:
         types = [r[0] for r in batch.select("aggregator_type").distinct().collect()]
         log = log.where(F.col("aggregator_type").isin(types))  # reads those partitions only
+        ids = [r[0] for r in batch.select("aggregator_id").distinct().limit(FEW + 1).collect()]
+        if len(ids) <= FEW:  # row groups are sorted by aggregate, so a small commit reads few of them
+            log = log.where(F.col("aggregator_id").isin(ids))
         if batch.join(log.select(*IDENTITY), list(IDENTITY), "left_semi").head(1):
             raise InvalidOriginalVersion("the log has an aggregate's version")
         if strict:
