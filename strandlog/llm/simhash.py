@@ -82,6 +82,8 @@ def links(fps: DataFrame, paired: int = PAIRED) -> DataFrame:
     Counting each variant pre-aggregates in the map tasks; groups of two come straight from their smallest and largest
     member, groups up to `paired` from an equi-join on the variant, larger ones are cut again by their open bits.
     """
+    # each fingerprint becomes 64 rows, so tasks that adaptive execution has made few are made many again
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows, found, width = fps.select(F.lit(0).cast("long").alias("key"), "fp", F.col("fp").alias("rest")), [], 64
     while True:
         keyed = _variants(rows, width)
