@@ -72,7 +72,10 @@ def word_features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray
 
 def clean(token: str) -> str:
     """The token without what isn't a letter at its ends; empty if it has no letter."""
-    return token if token.isalpha() else _EDGE.sub("", token)
+    if token.isalpha():
+        return token
+    word = _EDGE.sub("", token)
+    return word if any(map(str.isalpha, word)) else ""  # the pattern leaves numerals such as a raised two
 
 
 @dataclass(frozen=True)
@@ -311,8 +314,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     size = F.char_length(docs[text_col])
     rows = known.where(size.between(1, MAX_CHARS)).select(docs[id_col].alias("id"), docs[lang_col].cast("string").alias("lang"))
     common = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = rows.where(F.col("lang").isin(common)).withColumn("r", F.row_number().over(order)).where(F.col("r") <= PER_LANG)
+    picked = rows.where(F.col("lang").isin(common)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+    for part in (["lang", "salt"], ["lang"]):  # salted first: a language's rows don't meet in one task
+        order = Window.partitionBy(*part).orderBy(F.xxhash64("id"), "id")
+        picked = picked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PER_LANG)
     ids = [r["id"] for r in picked.select("id").distinct().collect()]
     sample = known.where(docs[id_col].isin(ids) & size.between(1, MAX_CHARS)).select(docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"))
     limit = MAX_LANGS * PER_LANG

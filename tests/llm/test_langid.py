@@ -63,8 +63,8 @@ def test_code_switching():
     word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 7)))
     texts = [(" ".join(word("abcdef") for _ in range(40)), "x") for _ in range(30)] + [(" ".join(word("uvwxyz") for _ in range(40)), "y") for _ in range(30)]
     labeller = langid.Labeller(langid.train(texts))
-    got = labeller.label(["abba dead face", "ABBA, Dead! wyvux wuzzy zyx vux", None, "", "12 -- 3!", "\x02 abba"])
-    assert [g[0] for g in got] == ["x", "y", "und", "und", "und", "x"]
+    got = labeller.label(["abba dead face", "ABBA, Dead! wyvux wuzzy zyx vux", None, "", "12 -- 3!", "\x02 abba", "\u00b2 \u2167 _\u00bd_"])
+    assert [g[0] for g in got] == ["x", "y", "und", "und", "und", "x", "und"]
     assert got[0][1] > 0.9 and 0.5 < got[1][1] < 0.8 and got[2][1] == 0.0
     assert langid.Labeller(langid.train([])).label(["a"])[0][:2] == ("und", 0.0)
 
