@@ -264,3 +264,21 @@ def test_incremental_fold(spark, tmp_path):
     out.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     want = {r["aggregator_id"]: (r["balance"], r["available"]) for r in fold.custom(events, _reset_handler, "balance long, available long").collect()}
     assert states == want
+
+
+def test_progress(store):
+    import time
+
+    from strandlog.streaming.progress import ProgressLog
+
+    log = ProgressLog().attach(store.spark)
+    try:
+        Bank(store).open_account("o", "n", initial_balance=1)
+        Subscription(store, "seen").on_all(ACCOUNT.aggregator_type, lambda e: None, each=True).execute()
+        for _ in range(100):
+            if log.ended:
+                break
+            time.sleep(0.1)
+        assert any(r["commits"] == 1 for r in log.last.values()) and list(log.ended.values()) == [None]
+    finally:
+        log.detach(store.spark)
