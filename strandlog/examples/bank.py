@@ -7,6 +7,7 @@ from strandlog.plans.projection import Loaded, Projection
 from strandlog.schema import Aggregate
 from strandlog.sources.store import Store
 
+# fixed values: the domain's events and their fields
 ACCOUNT = Aggregate(
     "bank/BankAccount",
     AccountOpened="owner_id string, owner_name string, account_type string, currency string, initial_balance long",
