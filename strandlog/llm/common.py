@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlog.deploy import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,6 +46,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
     The function takes and returns a dict of column name to list (or array). Batches are streamed: no partition
     is held as a whole.
     """
+    ship(df.sparkSession)
     out = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,6 +97,7 @@ def append(df: DataFrame, make: Callable[[], Callable[[dict], dict]], inputs: di
     """
     from pyspark.sql.types import StructType
 
+    ship(df.sparkSession)
     extra = StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in outputs.items()))
     fields = list(_arrow_schema(df.sparkSession, ", ".join(f"`{n}` {t}" for n, t in outputs.items())))
     at = {key: df.columns.index(name) for key, name in inputs.items()}
