@@ -95,7 +95,8 @@ def links(fps: DataFrame, paired: int = PAIRED) -> DataFrame:
         found.append(groups.where(F.col("n") == 2).where(_linked(x, F.col("key"), top)).select("a", "b"))
         sizes = groups.agg(F.max("n")).first()[0] or 0
         if sizes > 2:
-            members = cut(keyed.join(groups.where(F.col("n") > 2).select("key", "n"), "key"))
+            # a merge join at every size: what is shuffled stays in proportion to the input
+            members = cut(keyed.join(groups.where(F.col("n") > 2).select("key", "n").hint("merge"), "key"))
             some = members.where(F.col("n") <= most)
             left, right = some.select("key", F.col("fp").alias("a")), some.select(F.col("key").alias("other"), F.col("fp").alias("b"))
             close = (F.col("key") == F.col("other")) & (F.col("a") < F.col("b")) & _linked(x, F.col("key"), top)
