@@ -185,3 +185,22 @@ def test_hadoop_paths(spark, tmp_path):
     seen = []
     Subscription(store, "s").on_all("t/Thing", lambda e: seen.append(e["version"]), each=True).execute()
     assert seen == [1, 2] and store.get_cursor("s")
+
+
+def test_jdbc(spark, tmp_path):
+    """Events in a relational database, here the embedded one that Spark brings along."""
+    from pyspark.sql import functions as F
+
+    from strandlog.sources.store import jdbc_store
+
+    store = EventStore(spark, str(tmp_path / "s"))
+    a = store.create().routing_key("eu").requested_by("me").event(THING.Made, n=1).event(THING.Changed, n=2).commit()
+    url, driver = "jdbc:derby:memory:strandlog;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    flat = store.log().withColumn("metadata", F.to_json("metadata"))
+    kinds = ", ".join(f"{c} VARCHAR(200)" for c in ("id", "aggregator_type", "aggregator_id", "name", "routing_key", "data", "metadata"))
+    flat.write.format("jdbc").options(url=url, dbtable="event", driver=driver, createTableColumnTypes=kinds).save()
+    other = jdbc_store(spark, url, driver=driver)
+    rows = other.read([Read("t/Thing", a, "Changed")]).rows
+    assert [(r["version"], r["metadata"]["meta"]) for r in rows] == [(2, {"requested_by": "me"})]
+    assert other.read(args=Args.forward(1)).info.has_next_page
+    assert other.scan(None, RoutingKey.value("eu")).count() == 2 and other.scan(None, RoutingKey.value(None)).count() == 0
