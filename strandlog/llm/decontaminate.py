@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandlog.llm.common import append, free_name, map_rows, table
 
 WINDOW = 13
-#: Bytes of item text whose tables one pass holds; larger benchmarks take several passes.
+#: Bytes of item text whose tables a worker holds; larger benchmarks take several passes.
 BLOCK_BYTES = 1 << 19
 #: Longest character block of the shift tables.
 BLOCK = 8
@@ -73,106 +73,159 @@ def item_windows(items: list[tuple[object, str | None]], window: int = WINDOW) -
     return found
 
 
-_STATE = "doc_id long, text string, hits binary, items array<string>"
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
-
-
-def _search(block, last: bool):
-    def make():
-        windows = item_windows(block.value)
-        matcher = WuManber(windows)
-        lengths = {p: p.count(b" ") - 1 for p in windows}
-
-        def step(cols):
-            out = {k: [] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hits")}
-            for text, before, had in zip(cols["text"], cols["hits"], cols["items"], strict=True):
-                w = words(text)
-                found, items = [], set(had or ())
-                if w and windows:
-                    line = b" " + b" ".join(w) + b" "
-                    found = list(matcher.find(line))
-                if found:
-                    index = np.cumsum(np.frombuffer(line, np.uint8) == 32) - 1
-                    found_at = np.array([(index[s], lengths[p]) for s, p in found], "<i8")
-                    items.update(*(windows[p] for p in {p for _, p in found}))
-                    before = (before or b"") + found_at.tobytes()
-                out["hits"].append(before)
-                out["items"].append(sorted(items))
-                if last:
-                    n_hit = 0
-                    if before:
-                        spans = np.frombuffer(before, "<i8").reshape(-1, 2)
-                        edges = np.zeros(len(w) + 1, np.int64)
-                        np.add.at(edges, spans[:, 0], 1)
-                        np.add.at(edges, spans.sum(axis=1), -1)
-                        n_hit = int((np.cumsum(edges) > 0).sum())
-                    out["n_words"].append(len(w))
-                    out["n_hit"].append(n_hit)
-                    out["n_items"].append(len(items))
-                    out["items_sha256"].append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
-                    out["contaminated"].append(n_hit > 0 and 20 * n_hit >= len(w))
-            return {"doc_id": cols["doc_id"], "text": cols["text"]} | out
-
-        return step
-
-    return make
-
-
-def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: A document's hits in one block of items: (first word, words) pairs as little-endian 64-bit integers, and the items.
+_HITS = "doc_id long, sign string, block int, hits binary, items array<string>"
+
+
+class Searcher:
+    """The tables of one block of items."""
+
+    def __init__(self, items: list[tuple[object, str | None]]):
+        self.windows = item_windows(items)
+        self.matcher = WuManber(self.windows)
+        self.lengths = {p: p.count(b" ") - 1 for p in self.windows}
+
+    def search(self, w: list[bytes]) -> tuple[bytes, set[str]]:
+        """The hits, packed, and the ids of the items that occur in the words."""
+        if not w or not self.windows:
+            return b"", set()
+        line = b" " + b" ".join(w) + b" "
+        found = list(self.matcher.find(line))
+        if not found:
+            return b"", set()
+        index = np.cumsum(np.frombuffer(line, np.uint8) == 32) - 1
+        return np.array([(index[s], self.lengths[p]) for s, p in found], "<i8").tobytes(), set().union(*(self.windows[p] for p in {p for _, p in found}))
+
+
+def covered(hits: bytes, n_words: int) -> int:
+    """Words inside any of the packed hits."""
+    if not hits:
+        return 0
+    spans = np.frombuffer(hits, "<i8").reshape(-1, 2)
+    edges = np.zeros(n_words + 1, np.int64)
+    np.add.at(edges, spans[:, 0], 1)
+    np.add.at(edges, spans.sum(axis=1), -1)
+    return int((np.cumsum(edges) > 0).sum())
+
+
+def _report(doc_ids: list, sizes: list[int], hits: list[bytes], items: list[set[str]]) -> dict:
+    n_hit, items = [covered(h, n) for h, n in zip(hits, sizes, strict=True)], [sorted(i) for i in items]
+    return {
+        "doc_id": doc_ids,
+        "n_words": sizes,
+        "n_hit": n_hit,
+        "n_items": [len(i) for i in items],
+        "items_sha256": [hashlib.sha256(",".join(i).encode()).hexdigest() for i in items],
+        "contaminated": [h > 0 and 20 * h >= n for h, n in zip(n_hit, sizes, strict=True)],
+        "items": items,
+    }
+
+
+def _pieces(text: str, size: int, window: int = WINDOW):
+    """The text, or, of a text above `size` bytes, runs of words that share window - 1 words, so that no window is lost."""
+    w = words(text) if len(text.encode()) > size else []
+    step = max(1, size // max(1, max(map(len, w), default=1)))
+    if len(w) <= max(window, step):
+        yield text
+        return
+    for at in range(0, len(w) - window + 1, step):
+        yield b" ".join(w[at : at + step + window - 1]).decode()
+
+
+def item_blocks(items: DataFrame, size: int):
+    """Broadcasts of (item_id, text) lists with at most about `size` bytes of text each; at least one. One scan, a block at a time."""
+    sc, held, total = items.sparkSession.sparkContext, [], 0
+    wanted = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", F.col("text").cast("string"))
+    for item_id, text in wanted.toLocalIterator():
+        for piece in _pieces(text, size):
+            if held and total + len(piece.encode()) > size:
+                yield sc.broadcast(held)
+                held, total = [], 0
+            held.append((item_id, piece))
+            total += len(piece.encode())
+    yield sc.broadcast(held)
+
+
+def _hits(docs: DataFrame, blocks: list) -> DataFrame:
+    """_HITS rows of the documents (doc_id, text) that have hits, once for each block. Each block is a pass of its own: a
+    union's tasks run apart, so a worker holds the tables of one block only."""
+
+    def search(number, block):
+        def make():
+            searcher = Searcher(block.value)
+
+            def step(cols):
+                found = [(d, s, *searcher.search(words(t))) for d, s, t in zip(cols["doc_id"], cols["sign"], cols["text"], strict=True)]
+                found = [f for f in found if f[2]]
+                return {"doc_id": [f[0] for f in found], "sign": [f[1] for f in found], "block": [number] * len(found), "hits": [f[2] for f in found], "items": [sorted(f[3]) for f in found]}
+
+            return step
+
+        return make
+
+    read = docs.select("doc_id", F.sha2(F.col("text"), 256).alias("sign"), "text").where(F.col("text").isNotNull())
+    out = None
+    for number, block in enumerate(blocks):
+        some = map_rows(read, search(number, block), _HITS)
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (the ids, sorted as strings).
 
-    Documents are scanned whole where they lie, without a shuffle. The items are broadcast in blocks of about BLOCK_BYTES
-    of text, one pass over the documents for each block; a pass hands its hits on to the next.
+    Documents are scanned whole where they lie. The items are broadcast in blocks of at most about block_bytes (BLOCK_BYTES) of text.
+    One block is one narrow pass. More blocks are a pass each, apart from one another, whose hits (not the texts) are
+    brought together by (doc_id, hash of the text); equal rows have equal hits, so they count once there.
     Null or empty texts have no words, hits or items. Items with null text, without a word or with a null id have no windows. Items
     repeated under one id count once. Repeated documents and null ids each give a row; an empty table gives none, and
     an empty benchmark no hits. Other columns are not looked at.
     """
-    blocks = _blocks(items)
-    state = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        state = map_rows(state, _search(block, last), SCHEMA if last else _STATE)
-    return state
-
-
-def _blocks(items: DataFrame) -> list:
-    """Broadcasts of (item_id, text) lists with about BLOCK_BYTES of text each; at least one."""
-    wanted = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
-    size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = -(-size // BLOCK_BYTES) or 1
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
-    return [items.sparkSession.sparkContext.broadcast([tuple(r) for r in wanted.where(part == k).collect()]) for k in range(count)]
-
-
-def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose text isn't contaminated. Cases as in find_contamination."""
-    columns = docs.columns
-    hits, found, flag = (free_name(docs, n) for n in ("_hits", "_items", "_contaminated"))
-    state = docs.withColumn(hits, F.lit(None).cast("binary")).withColumn(found, F.lit(None).cast("array<string>"))
-    blocks = _blocks(items)
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        inputs = {"text": text_col, "hits": hits, "items": found}
-        if last:
-            state = append(state, _renamed(_search(block, True), {flag: "contaminated"}), inputs, {flag: "boolean"})
-        else:
-            was = {free_name(state, hits + "x"): "hits", free_name(state, found + "x"): "items"}
-            state = append(state, _renamed(_search(block, False), was), inputs, dict(zip(was, ("binary", "array<string>"), strict=True))).drop(hits, found)
-            hits, found = was
-    return state.where(~F.col(flag)).select(*[F.col(f"`{c}`") for c in columns])
-
-
-def _renamed(make, names: dict[str, str]):
-    def made():
-        step = make()
-
-        def run(cols):
-            got = step(cols | {"doc_id": []})
-            return {new: got[old] for new, old in names.items()}
-
-        return run
-
-    return made
+    blocks = list(item_blocks(items, block_bytes or BLOCK_BYTES))
+    read = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    if len(blocks) == 1:
+
+        def whole():
+            searcher = Searcher(blocks[0].value)
+
+            def step(cols):
+                split = [words(t) for t in cols["text"]]
+                found = [searcher.search(w) for w in split]
+                return _report(cols["doc_id"], [len(w) for w in split], [h for h, _ in found], [i for _, i in found])
+
+            return step
+
+        return map_rows(read, whole, SCHEMA)
+    each = _hits(read, blocks).groupBy("doc_id", "sign", "block").agg(F.min("hits").alias("hits"), F.min("items").alias("items"))
+    merged = each.groupBy("doc_id", "sign").agg(F.collect_list("hits").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    counted = append(read.withColumn("sign", F.sha2(F.col("text"), 256)), lambda: lambda cols: {"n_words": [len(words(t)) for t in cols["text"]]}, {"text": "text"}, {"n_words": "long"}).drop("text")
+    found = merged.select(F.col("doc_id").alias("d"), F.col("sign").alias("s"), "hits", "items")
+    joined = counted.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sign") == F.col("s")), "left").select("doc_id", "n_words", "hits", "items")
+
+    def finish():
+        return lambda cols: _report(cols["doc_id"], cols["n_words"], [b"".join(h or ()) for h in cols["hits"]], [set(i or ()) for i in cols["items"]])
+
+    return map_rows(joined, finish, SCHEMA)
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
+    """The rows of docs, all columns as they are, in whose text no window of any item occurs, however long the text.
+
+    One passage is enough to leak an item, so the share of hit words doesn't matter here. Cases as in find_contamination.
+    """
+    blocks = list(item_blocks(items, block_bytes or BLOCK_BYTES))
+    text = F.col(f"`{text_col}`").cast("string")
+    if len(blocks) == 1:
+        flag = free_name(docs, "_hit")
+
+        def make():
+            searcher = Searcher(blocks[0].value)
+            return lambda cols: {flag: [bool(searcher.search(words(t))[0]) for t in cols["text"]]}
+
+        return append(docs, make, {"text": text_col}, {flag: "boolean"}).where(~F.col(flag)).drop(flag)
+    hit = _hits(docs.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text")), blocks).select(F.col("sign").alias("_hit_sign")).distinct()
+    return docs.join(hit, F.sha2(text, 256) == F.col("_hit_sign"), "left_anti")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

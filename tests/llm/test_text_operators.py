@@ -225,11 +225,39 @@ def test_decontaminate(spark, monkeypatch, block):
     want = plain_hits(docs, [x for x in items if x[0] is not None])
     assert sorted(got, key=lambda r: str(key(r))) == sorted(want, key=lambda r: str(key(r)))
     kept = decontaminate.keep_clean(frame, bench)
-    assert kept.columns == frame.columns and kept.count() == sum(not w[-1] for w in want)
+    assert kept.columns == frame.columns and kept.count() == sum(not w[2] for w in want)
     assert decontaminate.find_contamination(frame.limit(0), bench).count() == 0
     assert decontaminate.keep_clean(frame, bench.limit(0)).count() == len(docs)
 
 
+@pytest.mark.parametrize("block", [1 << 19, 600])
+def test_clean_keeps_and_drops(spark, block):
+    """One planted passage drops a document however long it is; texts that share less than a window stay."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(f"i{i}", text(40)) for i in range(12)]
+    docs, planted = [], set()
+    for i in range(90):
+        body = text(rng.choice([5, 100, 3000, 20_000 if i % 30 == 0 else 900])).split()
+        at, item = rng.randrange(len(body)), rng.choice(items)[1].split()
+        if i % 3 == 0:  # a whole window
+            planted.add(i)
+            body[at:at] = item[4 : 4 + rng.randint(13, 30)]
+        elif i % 3 == 1:  # one word short of a window
+            body[at:at] = [*item[10:22], "zzz"]
+        docs.append((i, " ".join(body), 7))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, _hit int").repartition(3)
+    kept = decontaminate.keep_clean(frame, spark.createDataFrame(items, "item_id string, text string"), block_bytes=block)
+    assert {r["doc_id"] for r in kept.collect()} == set(range(90)) - planted
+
+
+def test_long_item_in_pieces():
+    text = " ".join(f"w{i}" for i in range(400))
+    whole, cut = decontaminate.item_windows([(1, text)]), decontaminate.item_windows([(1, p) for p in decontaminate._pieces(text, 300)])
+    assert cut == whole and len(list(decontaminate._pieces(text, 300))) > 5
+
+
 # pipeline
 
 
