@@ -10,6 +10,7 @@ A stored table has rows (bucket, seq, n_docs, n_tokens, payload), in ascending d
 
 from __future__ import annotations
 
+import bisect
 import re
 import struct
 import uuid
@@ -113,28 +114,59 @@ def open_block(data: bytes) -> tuple[list[int | None], np.ndarray, DacReader]:
     return [None if x else int(i) for x, i in zip(null, numbers, strict=True)], np.concatenate([[0], ends]).astype(int), DacReader(data, 8 + 17 * n)
 
 
+def latin_splitter(config: dict) -> re.Pattern | None:
+    """The file's own split pattern for texts of code points below 256, or None if the file doesn't ask for just this: NFC, one space
+    for white space, lower case, words by one pattern, byte-level letters, BPE with no option that looks beyond a word."""
+    steps = (config.get("normalizer") or {}).get("normalizers", [])
+    kinds = [(n.get("type"), n.get("pattern"), n.get("content")) for n in steps]
+    parts = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    model = config.get("model") or {}
+    fits = (
+        kinds == [("NFC", None, None), ("Replace", {"Regex": "\\s+"}, " "), ("Lowercase", None, None)]
+        and [x.get("type") for x in parts] == ["Split", "ByteLevel"]
+        and (parts[0].get("behavior"), parts[0].get("invert")) == ("Removed", True)
+        and (parts[1].get("add_prefix_space"), parts[1].get("use_regex")) == (False, False)
+        and model.get("type") == "BPE"
+        and not any(config.get(n) for n in ("truncation", "padding", "post_processor"))
+        and not any(model.get(n) for n in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges", "byte_fallback"))
+    )
+    pattern = parts[0].get("pattern", {}).get("Regex") if fits else None
+    if pattern is None:
+        return None
+    pattern = pattern.replace("[^\\s\\p{L}\\p{N}]", f"[^{_SPACE}{_LETTER}{_NUMBER}]").replace("[\\p{L}]", f"[{_LETTER}]").replace("[\\p{N}]", f"[{_NUMBER}]")
+    return None if "\\" in re.sub(r"\\(x[0-9a-f]{2}|[tr])", "", pattern) else re.compile(pattern)
+
+
 class WordTokenizer:
-    """The tokenizers library with its results kept by word.
+    """The tokenizers library, unaltered, with its results kept by word.
 
-    Texts of code points below 256 are lower-cased and cut into words here (normalisation is the identity for them, but for
-    case and white space) and each word is encoded by the library; other texts go to the library whole.
+    Texts of code points below 256 are lower-cased and cut into words here, by the tokenizer file's own pattern (normalisation is
+    the identity for them, but for case and white space), and each word is encoded by the library's model. Other texts go to the
+    library whole, and so do texts that hold one of the file's special tokens, which the library gives their own ids. So do all
+    texts if the file asks for anything else, or if the two ways differ on any of the 256 characters.
     """
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+        with open(path, encoding="utf-8") as file:
+            config = json.load(file)
+        special = [re.escape(t["content"]) for t in config.get("added_tokens", []) if t["content"]]
+        self.special = re.compile("|".join(special)) if special else None
+        self.words = latin_splitter(config)
         self.model = self.library.model
         self.known = Memo(self._word, 400_000)
         # the byte-level alphabet: visible Latin-1 characters stand for their own code, the others follow from 256 on
         seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         hidden = [b for b in range(256) if b not in set(seen)]
         self.alphabet = dict(zip(hidden, map(chr, range(256, 512)), strict=False))
+        if self.words is not None and any(self.encode(t) != self._text(t) for t in (x for c in map(chr, range(256)) for x in (c, f"a{c}b", f"1{c} {c}{c}", f"'{c}s"))):
+            self.words = None
 
     def _word(self, word: str) -> bytes:
         """One word by the library's model, without its normaliser and splitter: they leave a single word as it is."""
@@ -147,6 +179,8 @@ class WordTokenizer:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.words is None or (self.special is not None and self.special.search(text)):
+            return self._text(text)
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
@@ -159,25 +193,37 @@ def load(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def quantiles(docs: DataFrame, id_col: str = "doc_id") -> list[int]:
-    """Bounds of doc_id ranges of about equal numbers of rows, three for each shuffle partition; reads that column only."""
+#: The place of a null id in the order of ids.
+_NULL = -(1 << 63)
+
+
+def bounds(docs: DataFrame, id_col: str = "doc_id") -> list[tuple[int, int]]:
+    """(doc_id, salt) bounds of ranges of about equal numbers of rows, three for each shuffle partition; reads the id column only.
+
+    An id with so many rows that it is several quantiles at once has its salts cut into as many ranges.
+    """
     count = 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = docs.select(docs[id_col].cast("long").alias("id")).approxQuantile("id", [i / count for i in range(1, count)], 0.2 / count)
-    return sorted({int(q) for q in found})
+    ids = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_NULL)).alias("id"))
+    found = [int(q) for q in ids.approxQuantile("id", [i / count for i in range(1, count)], 0.2 / count)]
+    out = []
+    for value in sorted(set(found)):
+        times = found.count(value)
+        out += [(value, (1 << 64) * k // times - (1 << 63)) for k in range(1, times)] + [(value, 1 << 63)]
+    return out
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, bucket (its range by quantiles), n_tokens and ids (little-endian, 16-bit if `wide` is false, else 32-bit) of each
-    document, the end id appended."""
-    bounds = np.array(quantiles(docs, id_col), np.int64)
+    """doc_id, salt (a hash of the text), bucket (its range of ids and salts), n_tokens and ids (little-endian, 16-bit if `wide` is
+    false, else 32-bit) of each document, the end id appended."""
+    edges = bounds(docs, id_col)
 
     def make():
         coder = load(path)
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
         def step(cols):
-            bucket = [0 if d is None else int(np.searchsorted(bounds, d)) for d in cols["doc_id"]]
-            out = {"doc_id": cols["doc_id"], "bucket": bucket, "n_tokens": [], "wide": [], "ids": []}
+            bucket = [bisect.bisect_left(edges, (_NULL if d is None else d, x)) for d, x in zip(cols["doc_id"], cols["salt"], strict=True)]
+            out = {"doc_id": cols["doc_id"], "salt": cols["salt"], "bucket": bucket, "n_tokens": [], "wide": [], "ids": []}
             for text in cols["text"]:
                 ids = np.frombuffer(coder.encode(text) + end, "<u4")
                 wide = bool(len(ids) and ids.max() > 65535)
@@ -189,16 +235,16 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None = 1, id_col: str = "
         return step
 
     read = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return map_rows(read, make, "doc_id long, bucket int, n_tokens long, wide boolean, ids binary")
+    return map_rows(read.withColumn("salt", F.xxhash64("text")), make, "doc_id long, salt long, bucket int, n_tokens long, wide boolean, ids binary")
 
 
 def write(tokens: DataFrame, path: str) -> None:
-    """Writes the result of tokenize() in ascending doc_id order (null first; equal ids by their tokens).
+    """Writes the result of tokenize() in ascending doc_id order (null first; equal ids by a hash of their text, then their tokens).
 
     Ids move in one shuffle, by bucket. A bucket is written as blocks of about BLOCK_TOKENS ids, streamed: no task holds more
     than a block.
     """
-    placed = tokens.repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
+    placed = tokens.repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "salt", "ids")
     names = {"bucket": pa.int32(), "seq": pa.int32(), "n_docs": pa.int32(), "n_tokens": pa.int64(), "payload": pa.binary()}
 
     def run(batches):

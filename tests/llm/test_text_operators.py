@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from strandlog.llm import byte_bpe, decontaminate, pii, token_store
 
@@ -75,17 +76,45 @@ def test_bpe_rows(spark, odd, bpe):
 # token store
 
 
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
+
 @pytest.fixture(scope="module")
 def words():
-    return token_store.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.WordTokenizer(WORDS)
+
+
+@pytest.fixture(scope="module")
+def fresh():
+    """The library as it is."""
+    return Tokenizer.from_file(WORDS)
 
 
-def test_words(words):
+def test_words(words, fresh):
     rng = random.Random(2)
-    letters = "aaab bcÀéß\x85\x1c\xa0\x00\x7f\xad \n\t123²½'s'llñ\"#µª·×÷__--!!abcABCΣ"
+    letters = [*"aaab bcÀéß\x85\x1c\xa0\x00\x7f\xad \n\t123²½'s'llñ\"#µª·×÷__--!!abcABCΣ", "<|startoftext|>", "<|endoftext|>", "<|endof", "<|STARTOFTEXT|>"]
     for _ in range(4000):
         t = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
-        assert np.frombuffer(words.encode(t), "<u4").tolist() == words.library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(words.encode(t), "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids
+    assert words.words is not None
+    assert np.frombuffer(words.encode("a <|startoftext|> b"), "<u4").tolist() == [320, 49406, 321]
+
+
+def test_other_tokenizer_files(tmp_path, fresh):
+    """A file that asks for something else than the known steps is left to the library."""
+    import json
+
+    config = json.loads(open(WORDS, encoding="utf-8").read())
+    text = "It's a Cat-1 né"
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(config | change), encoding="utf-8")
+        other = token_store.WordTokenizer(str(path))
+        assert other.words is None
+        assert np.frombuffer(other.encode(text), "<u4").tolist() == other.library.encode(text, add_special_tokens=False).ids
+    config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "\\S+"
+    (tmp_path / "split.json").write_text(json.dumps(config), encoding="utf-8")
+    assert token_store.WordTokenizer(str(tmp_path / "split.json")).words is None
 
 
 @pytest.mark.parametrize("high", [1, 200, 300, 70_000, 2**32 - 1])
@@ -101,12 +130,12 @@ def test_codes(high):
         token_store.open_block(b"none")
 
 
-def test_store(spark, odd, words, tmp_path):
-    path = public_tokenizers.path("word_bpe_49k.json")
+def test_store(spark, odd, fresh, tmp_path):
+    path = WORDS
     token_store.write(token_store.tokenize(odd, path), str(tmp_path / "t"))
     got = token_store.read(spark, str(tmp_path / "t")).orderBy("start").collect()
     want, start = [], 0
-    coded = [(d, words.library.encode(t or "", add_special_tokens=False).ids + [1]) for d, t, *_ in ODD]
+    coded = [(d, fresh.encode(t or "", add_special_tokens=False).ids + [1]) for d, t, *_ in ODD]
     for doc, ids in sorted(coded, key=lambda x: (x[0] is not None, x[0], x[1])):
         want.append((doc, start, len(ids), np.array(ids, "<u4").tobytes()))
         start += len(ids)
@@ -117,6 +146,22 @@ def test_store(spark, odd, words, tmp_path):
     assert token_store.read(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_hot_ids(spark, fresh, tmp_path):
+    """A null id and a repeated one with most of the rows are dealt over several ranges, and the file stays in order."""
+    rows = [(None, f"none {i}") for i in range(300)] + [(7, f"seven {i}") for i in range(300)] + [(i, f"id {i}") for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    coded = token_store.tokenize(frame, WORDS).select("doc_id", "bucket").distinct().collect()
+    assert len({r["bucket"] for r in coded if r["doc_id"] is None}) > 4 and len({r["bucket"] for r in coded if r["doc_id"] == 7}) > 4
+    token_store.write(token_store.tokenize(frame, WORDS), str(tmp_path / "h"))
+    got, at = token_store.read(spark, str(tmp_path / "h")).orderBy("start").collect(), 0
+    assert [r["doc_id"] for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d))
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    ids = lambda t: np.array([*fresh.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()
+    assert sorted(bytes(r["ids"]) for r in got) == sorted(ids(t) for _, t in rows)
+
+
 # personal data
 
 
