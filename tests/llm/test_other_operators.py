@@ -87,3 +87,64 @@ def test_quality_odd(spark):
     assert quality.classify(docs, labels).count() == 5
     assert quality.classify(docs, labels.limit(0)).where("score between 0 and 1").count() == 5
     assert quality.classify(docs.limit(0), labels).count() == 0
+
+
+def plain_risk(p, u, prior):
+    """The risk from its definition, value by value."""
+    loss = lambda z, y: math.log1p(math.exp(-z if y else z))
+    mean = lambda v: sum(v) / len(v)
+    negative = mean([loss(z, 0) for z in u]) - prior * mean([loss(z, 0) for z in p])
+    return prior * mean([loss(z, 1) for z in p]) + max(0.0, negative), negative
+
+
+@pytest.mark.parametrize("shift", [-1.0, 2.5])
+def test_quality_risk(shift):
+    """The value, and the gradient by differences: of the whole risk, or of the negative part, reversed, where that is below zero."""
+    rng = np.random.default_rng(3)
+    p, u, prior = rng.normal(shift, 1, 7), rng.normal(-abs(shift), 1, 9), 0.7
+    value, gp, gu = quality.risk(p, u, prior)
+    want, negative = plain_risk(p, u, prior)
+    assert math.isclose(value, want)
+    assert (negative < 0) == (shift > 0)
+    target = (lambda a, b: plain_risk(a, b, prior)[0]) if negative >= 0 else (lambda a, b: -plain_risk(a, b, prior)[1])
+    for z, g, other in ((p, gp, lambda x: target(x, u)), (u, gu, lambda x: target(p, x))):
+        for i in range(len(z)):
+            up, down = z.copy(), z.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            assert math.isclose((other(up) - other(down)) / 2e-5, g[i], rel_tol=1e-5, abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.85])
+def test_quality_prior(share):
+    """The share of positives is found without a negative label."""
+    rng = np.random.default_rng(int(share * 100))
+
+    def made(n, good):
+        x = rng.normal(0, 1, (n, len(quality.FEATURES)))
+        x[:, :3] += np.where(good[:, None], 1.6, -1.6)
+        return quality.Sample(x, np.zeros(0, np.int64), np.zeros(n, np.int64))
+
+    found = quality.estimate_prior(made(3000, np.ones(3000, bool)), made(8000, rng.random(8000) < share))
+    assert abs(found - share) < 0.08
+
+
+def test_quality_sample(spark):
+    """A cutoff on the id's hash: about as many ids as wanted, all rows of each, and the same ones however the rows lie."""
+    rows = spark.range(0, 60_000).selectExpr("id % 20000 as doc_id", "cast(id as string) as text")
+    got = quality.sample(rows, 1000)
+    ids = {r[0] for r in got.select("doc_id").collect()}
+    assert 850 < len(ids) < 1150 and got.count() == 3 * len(ids)
+    assert {r[0] for r in quality.sample(rows.repartition(7), 1000).select("doc_id").collect()} == ids
+    assert quality.sample(rows, 30_000).count() == 60_000
+    one = quality._collect(spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "")], "doc_id long, text string"))
+    assert len(one) == 2 and one.x[0].tolist() == quality.features(None)
+
+
+def test_quality_words():
+    text = " ".join(f"w{i}" for i in range(3000))
+    words = quality.content(text)
+    assert 200 < len(words) <= quality.DISTINCT and (words == quality.content(text + " W5 w9 ")).all()
+    assert len(quality.content(None)) == 0 and quality.content("a A a b").tolist() == sorted(set(quality.content("b a").tolist()))
+    some = quality.Sample.of([[0.0] * len(quality.FEATURES)] * 3, [np.arange(3), np.arange(0), np.arange(5, 7)])
+    assert some.take(np.array([2, 0])).words.tolist() == [5, 6, 0, 1, 2]
