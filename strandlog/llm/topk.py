@@ -1,9 +1,10 @@
 """Exact top-k inner-product search by a three-phase uniform threshold.
 
-The dimensions are cut into slices; each slice acts as one list owner. Phase 1 gathers the best entries of each slice
-and resolves their full scores, which gives a safe cutoff for each query: the k-th best of real scores can't exceed the
-final k-th best. Phase 2 sends the cutoff back: an entry whose full score reaches it must reach the uniform share of it in
-at least one slice, so each slice hands in only its entries above that share. Phase 3 resolves those entries exactly.
+The dimensions are cut into slices; each slice acts as one list owner, whose local score of an entry is the partial inner
+product. Phase 1: each owner gathers its best entries; the full scores of these few give a safe cutoff for each query, since the
+k-th best of any real scores can't exceed the final k-th best. Phase 2: the cutoff goes back. An entry that reaches it has the
+uniform share (cutoff over owners) in at least one slice, so each owner hands in its entries at that share or above; entries whose
+norm can't reach it are not multiplied at all. Phase 3: only what was handed in gets its full score, which decides.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from strandlog.llm.common import cut, table
 CHUNK, QUERIES = 2048, 1024
 SLICES = 2
 _EXACT = 2.0**53
+#: Entries scored at a time in phase 3.
+_STEP = 1 << 16
 
 
 def quantise(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -54,16 +57,80 @@ def _pack(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "n int, dim int, ids binary, vals binary")
 
 
-def _scores(row, cand, slices):
-    """Slice scores and full scores of a block pair, exact: float64 while all sums stay below 2^53, else integers."""
-    a = np.frombuffer(row["vals"], "<i8").reshape(row["n"], row["dim"])
-    b = cand
-    bound = float(max(np.abs(a.astype(float)).max(initial=0), 1)) * float(max(np.abs(b.astype(float)).max(initial=0), 1)) * max(row["dim"], 1)
-    kind = np.float64 if bound < _EXACT else object
-    a, b = a.astype(kind), b.astype(kind)
-    edges = np.linspace(0, row["dim"], slices + 1).astype(int)
-    parts = [a[:, s:e] @ b[:, s:e].T for s, e in zip(edges, edges[1:], strict=False)]
-    return parts, sum(parts[1:], parts[0])
+class BlockPair:
+    """A block of queries and a block of candidates, in exact arithmetic: doubles while all sums stay below 2^53, else integers.
+
+    `scored` counts the entries that got a full score, `multiplied` those that got a local one, by slice.
+    """
+
+    def __init__(self, qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates: np.ndarray, slices: int = SLICES):
+        dim = queries.shape[1]
+        most = [float(max(np.abs(x.astype(float)).max(initial=0), 1)) for x in (queries, candidates)]
+        kind = np.float64 if most[0] * most[1] * max(dim, 1) < _EXACT else object
+        self.qids, self.ids, self.a, self.b = qids, ids, queries.astype(kind), candidates.astype(kind)
+        self.edges = np.linspace(0, dim, slices + 1).astype(int)
+        self.slices, self.scored, self.multiplied = slices, 0, 0
+
+    def _part(self, j: int) -> slice:
+        return slice(self.edges[j], self.edges[j + 1])
+
+    def local(self, j: int, some=slice(None)) -> np.ndarray:
+        """Slice j's scores of all queries with some of the candidates."""
+        out = self.a[:, self._part(j)] @ self.b[some, self._part(j)].T
+        self.multiplied += out.size
+        return out
+
+    def full(self, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Full scores of single entries (query, candidate)."""
+        out = np.zeros(len(q), self.a.dtype)
+        for i in range(0, len(q), _STEP):
+            out[i : i + _STEP] = (self.a[q[i : i + _STEP]] * self.b[c[i : i + _STEP]]).sum(axis=1)
+        self.scored += len(q)
+        return out
+
+    def gather(self, k: int) -> list[list[int]]:
+        """Phase 1: for each query the k best full scores of what the slices' k best lists hold, the query's own id left out."""
+        picks = np.zeros((len(self.qids), len(self.ids)), bool)
+        own = self.qids[:, None] == self.ids[None, :]
+        rows = np.arange(len(self.qids))[:, None]
+        for j in range(self.slices):
+            scores = self.local(j)
+            if scores.dtype == np.float64:
+                scores[own] = -np.inf
+            picks[rows, _best(scores, k)] = True
+        q, c = np.nonzero(picks & ~own)
+        full = self.full(q, c)
+        starts = np.searchsorted(q, np.arange(len(self.qids) + 1))
+        return [sorted((int(x) for x in full[s:e]), reverse=True)[:k] for s, e in zip(starts, starts[1:], strict=False)]
+
+    def collect(self, cutoffs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phase 2: the entries with the uniform share of their query's cutoff in some slice. -inf: no cutoff is known."""
+        share = cutoffs / self.slices
+        if len(share) and np.isfinite(share).any():  # a share in doubles is never above the exact one
+            share = share - np.where(np.isfinite(share), np.maximum(np.abs(share) * 1e-12, 1e-6), 0.0)
+        some = np.zeros((len(self.qids), len(self.ids)), bool)
+        for j in range(self.slices):
+            part = self._part(j)
+            size_q, size_c = (np.sqrt((x[:, part].astype(float) ** 2).sum(axis=1)) * (1 + 1e-9) for x in (self.a, self.b))
+            # the norm that a candidate needs for the query that asks least of it
+            with np.errstate(divide="ignore", invalid="ignore"):
+                need = np.where(share <= 0, 0.0, share / size_q)
+            live = np.flatnonzero(size_c >= need.min(initial=np.inf))
+            if len(live):
+                some[:, live] |= self.local(j, live).astype(float) >= share[:, None]
+        return np.nonzero(some & (self.qids[:, None] != self.ids[None, :]))
+
+    def resolve(self, cutoffs: np.ndarray, k: int):
+        """Phase 3: (query positions, candidate ids, scores): each query's k best of the collected entries, cutoff or above."""
+        q, c = self.collect(cutoffs)
+        score = self.full(q, c)
+        least = cutoffs - np.where(np.abs(cutoffs) < 2.0**52, 0.0, np.where(np.isfinite(cutoffs), np.abs(cutoffs) * 1e-12, 0.0))
+        good = score.astype(float) >= least[q]
+        q, v, score = q[good], self.ids[c[good]], score[good]
+        order = np.lexsort((v, -score, q)) if score.dtype == np.float64 else np.array(sorted(range(len(q)), key=lambda i: (q[i], -score[i], v[i])), int)
+        q, v, score = q[order], v[order], score[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        return q[place < k], v[place < k], score[place < k]
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -71,30 +138,23 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     if scores.shape[1] <= k:
         return np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
     if scores.dtype == object:
-        return np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        return np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]  # the query's own id may be one
     return np.argpartition(scores, scores.shape[1] - k, axis=1)[:, -k:]
 
 
+def _pairs(pdfs, slices):
+    for pdf in pdfs:
+        for row in pdf.to_dict("records"):
+            queries, candidates = (np.frombuffer(row[v], "<i8").reshape(row[n], row["dim"]) for v, n in (("vals", "n"), ("cvals", "cn")))
+            yield row, BlockPair(np.frombuffer(row["ids"], "<i8"), queries, np.frombuffer(row["cids"], "<i8"), candidates, slices)
+
+
 def _phase_one(k, slices):
     def run(pdfs):
         import pandas as pd
 
-        for pdf in pdfs:
-            for row in pdf.to_dict("records"):
-                qids, ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["cids"], "<i8")
-                parts, full = _scores(row, np.frombuffer(row["cvals"], "<i8").reshape(row["cn"], row["dim"]), slices)
-                own = qids[:, None] == ids[None, :]
-                out_q, out_s, lows = [], [], [[int(x) for x in p.min(axis=1)] for p in parts]
-                picks = np.zeros(full.shape, bool)
-                rows = np.arange(len(qids))[:, None]
-                for p in parts:
-                    picks[rows, _best(p, k + 1)] = True
-                picks &= ~own
-                for q in range(len(qids)):
-                    s = sorted((int(x) for x in full[q, picks[q]]), reverse=True)[:k]
-                    out_q.append(int(qids[q]))
-                    out_s.append(s)
-                yield pd.DataFrame({"query_id": out_q, "dim": row["dim"], "scores": out_s, "lows": [list(x) for x in zip(*lows, strict=True)]})
+        for _, pair in _pairs(pdfs, slices):
+            yield pd.DataFrame({"query_id": pair.qids.astype("i8"), "scores": pair.gather(k)})
 
     return run
 
@@ -103,26 +163,9 @@ def _phase_two(k, slices):
     def run(pdfs):
         import pandas as pd
 
-        for pdf in pdfs:
-            for row in pdf.to_dict("records"):
-                qids, ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["cids"], "<i8")
-                parts, full = _scores(row, np.frombuffer(row["cvals"], "<i8").reshape(row["cn"], row["dim"]), slices)
-                limits = np.frombuffer(row["limits"], "<f8").reshape(len(qids), slices + 1)
-                some = np.zeros(full.shape, bool)
-                for j, p in enumerate(parts):
-                    some |= (p.astype(float) >= limits[:, j : j + 1]) if p.dtype == object else (p >= limits[:, j : j + 1])
-                some &= (full.astype(float) if full.dtype == object else full) >= limits[:, slices:]
-                some &= qids[:, None] != ids[None, :]
-                out_q, out_v, out_s = [], [], []
-                for q in np.flatnonzero(some.any(axis=1)):
-                    at = np.flatnonzero(some[q])
-                    s, v = full[q, at], ids[at]
-                    order = np.lexsort((v, -s.astype(float))) if s.dtype != object else sorted(range(len(s)), key=lambda i: (-s[i], v[i]))
-                    order = order[:k]
-                    out_q += [int(qids[q])] * len(order)
-                    out_v += [int(v[i]) for i in order]
-                    out_s += [int(s[i]) for i in order]
-                yield pd.DataFrame({"query_id": np.array(out_q, "i8"), "vec_id": np.array(out_v, "i8"), "score": np.array(out_s, "i8")})
+        for row, pair in _pairs(pdfs, slices):
+            q, v, score = pair.resolve(np.frombuffer(row["cutoffs"], "<f8"), k)
+            yield pd.DataFrame({"query_id": pair.qids[q].astype("i8"), "vec_id": v.astype("i8"), "score": score.astype("i8")})
 
     return run
 
@@ -133,33 +176,25 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, slices: int = SLICE
     `is_query` picks the queries by `id`; every other row is a candidate. Queries meet candidates in blocks: candidate
     blocks and query blocks are joined on a salt, so no task holds more than a block pair and no side is broadcast.
     Vectors null or holding null or non-finite components, and null ids, take no part; only vectors of the query's own dimension
-    are compared. Rows that share the query's id count as the query's own. Rows repeated under one id each count as a
-    candidate. An empty table gives no rows. Scores must fit a long.
+    are compared. Rows that share the query's id count as the query's own; of several vectors under a query's id the smallest, component
+    by component, asks. Rows repeated under one id each count as a candidate. An empty table gives no rows. Scores must fit a long.
     """
     rows = quantise(vectors, id_col, vec_col)
     chunks = _pack(rows, CHUNK).select("dim", F.col("n").alias("cn"), F.col("ids").alias("cids"), F.col("vals").alias("cvals"))
     chunks = cut(chunks.withColumn("salt", F.pmod(F.xxhash64("cids"), F.lit(1 << 20)).cast("int")))
     salts = max(1, min(chunks.count(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     chunks = chunks.withColumn("salt", F.col("salt") % salts)
-    blocks = cut(_pack(rows.where(is_query).dropDuplicates(["id"]), QUERIES).withColumn("block", F.xxhash64("ids")))
+    asked = rows.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
+    blocks = cut(_pack(asked, QUERIES).withColumn("block", F.xxhash64("ids", "dim")))
     spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    pairs = chunks.join(blocks.select("*", spread), ["salt", "dim"])
-    schema = "query_id long, dim int, scores array<long>, lows array<long>"
-    first = cut(pairs.mapInPandas(_phase_one(k, slices), schema))
+    first = cut(chunks.join(blocks.select("*", spread), ["salt", "dim"]).mapInPandas(_phase_one(k, slices), "query_id long, scores array<long>"))
     best = Window.partitionBy("query_id").orderBy(F.desc("s"))
-    cutoff = first.select("query_id", F.explode("scores").alias("s")).withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", F.col("s").alias("cutoff"))
-    lows = first.groupBy("query_id").agg(*[F.min(F.col("lows")[j]).alias(f"low{j}") for j in range(slices)])
-    total = sum((F.col(f"low{j}") for j in range(1, slices)), F.col("low0"))
-    share = (F.col("cutoff") - total) / F.lit(float(slices))
-    # below the cutoff by a rounding margin, so the float share is never above the exact one
-    limit = [F.coalesce(F.col(f"low{j}") + share - 1, F.lit(float("-inf"))) for j in range(slices)]
-    least = F.coalesce(F.col("cutoff").cast("double") - F.when(F.abs("cutoff") < F.lit(2**52), 0.0).otherwise(F.abs("cutoff") * 1e-12), F.lit(float("-inf")))
-    limits = lows.join(cutoff, "query_id", "left").select("query_id", F.array(*limit, least).alias("limits"))
+    cutoff = first.select("query_id", F.explode("scores").alias("s")).withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", F.col("s").cast("double").alias("cutoff"))
+    # one cutoff for each query, packed as the query's block is
     ids = blocks.select("block", "ids").mapInPandas(_positions, "block long, at int, query_id long")
-    packed = ids.join(limits, "query_id", "left").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "limits"))).alias("l")).select("block", F.flatten(F.transform("l", lambda x: F.coalesce(x["limits"], F.array(*[F.lit(float("-inf"))] * (slices + 1))))).alias("flat"))
-    packed = cut(packed.mapInPandas(_to_bytes, "block long, limits binary"))
-    second = chunks.join(blocks.join(packed, "block").select("*", spread), ["salt", "dim"])
-    found = second.mapInPandas(_phase_two(k, slices), "query_id long, vec_id long, score long")
+    packed = ids.join(cutoff, "query_id", "left").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("cutoff", F.lit(float("-inf"))).alias("c")))).alias("l")).select("block", F.transform("l", lambda x: x["c"]).alias("flat"))
+    packed = cut(packed.mapInPandas(_to_bytes, "block long, cutoffs binary"))
+    found = chunks.join(blocks.join(packed, "block").select("*", spread), ["salt", "dim"]).mapInPandas(_phase_two(k, slices), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -175,7 +210,7 @@ def _positions(pdfs):
 
 def _to_bytes(pdfs):
     for pdf in pdfs:
-        yield pdf.assign(limits=[np.asarray(x, "<f8").tobytes() for x in pdf.pop("flat")])[["block", "limits"]]
+        yield pdf.assign(cutoffs=[np.asarray(x, "<f8").tobytes() for x in pdf.pop("flat")])[["block", "cutoffs"]]
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

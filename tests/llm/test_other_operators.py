@@ -148,3 +148,30 @@ def test_quality_words():
     assert len(quality.content(None)) == 0 and quality.content("a A a b").tolist() == sorted(set(quality.content("b a").tolist()))
     some = quality.Sample.of([[0.0] * len(quality.FEATURES)] * 3, [np.arange(3), np.arange(0), np.arange(5, 7)])
     assert some.take(np.array([2, 0])).words.tolist() == [5, 6, 0, 1, 2]
+
+
+def test_topk_prunes():
+    """Full scores only for entries that a slice has handed in, and no product for entries whose norm can't reach the share."""
+    rng = np.random.default_rng(9)
+    queries = rng.integers(-50, 50, (8, 16))
+    many = rng.integers(-3, 4, (4000, 16))
+    many[::100] = rng.integers(-90, 90, (40, 16))
+    qids, ids = np.arange(8) + 10_000, np.arange(4000)
+    exact = queries @ many.T
+    k = 5
+    pair = topk.BlockPair(qids, queries, ids, many)
+    cutoffs = np.array([s[k - 1] for s in pair.gather(k)], float)
+    assert pair.scored <= 8 * 2 * k and (cutoffs <= np.sort(exact, axis=1)[:, -k]).all()
+    before = pair.multiplied
+    q, v, score = pair.resolve(cutoffs, k)
+    assert pair.scored < 0.02 * exact.size and pair.multiplied - before < 0.1 * 2 * exact.size
+    want = [(i, c, exact[i, c]) for i in range(8) for c in sorted(range(4000), key=lambda c: (-exact[i, c], c))[:k]]
+    assert list(zip(q.tolist(), v.tolist(), score.tolist(), strict=True)) == want
+
+
+def test_topk_repeated_rows(spark):
+    """A candidate id that repeats counts each time; of vectors under one query id the smallest asks, and none is its own candidate."""
+    rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (3, [1.0, 1.0]), (3, [1.0, 1.0]), (3, [4.0, 0.0]), (5, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows * 2, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("id") % 20 == 0, 20).collect())
+    assert got == [(0, r, i, s * 4096) for r, (i, s) in enumerate([(3, 4)] * 2 + [(3, 1)] * 4 + [(5, -1)] * 2, 1)]
