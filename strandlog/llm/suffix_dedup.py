@@ -4,18 +4,20 @@ Comparing all suffixes of a corpus is out of reach, so only suffixes that can be
 
 1. Every string of LENGTH bytes has an anchor: the k-gram with the smallest hash among its k-grams. Strings that share an
    anchor lie in one span. Spans move as (k-gram hash, span hash, place), packed; equal spans are settled at once, and
-   in each map task before the shuffle, so copies cost one entry for each task.
+   in each map task before the shuffle, so copies cost one entry for each task. Within a task equal hashes are confirmed byte by
+   byte; over tasks 64 bits of the span's hash and 64 of its k-gram's stand for the bytes.
 2. Spans that share an anchor's k-gram but differ (the borders of repeats) are fetched as text and their suffixes are
    sorted: a stable mergesort whose comparisons find the common extension of two suffixes by binary search over prefix
    polynomial hashes. In each run of suffixes equal over LENGTH bytes all but the first are repeats; equal hashes are
    confirmed byte by byte.
-3. K-grams with very many different spans, found on a sample, go by the hash of each single string instead, which spreads them. The
-   sample decides the way, never the result.
+3. K-grams with very many different spans go by the hash of each single string instead, which spreads them. They are found by a
+   sketch of counts over all documents; it decides the way, never the result.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +31,20 @@ GRAM = 32
 _WINDOW = LENGTH - GRAM + 1
 #: Positions hashed at once, and entries held by a map task before they are handed on.
 CHUNK, HELD = 1 << 20, 400_000
-#: Documents of the sample that looks for frequent k-grams, and different spans there that make one frequent.
-SAMPLE, FREQUENT = 20_000, 16
+#: Counters of the sketch, spans that make a k-gram frequent, and the multiple of a counter's mean that does so on larger inputs.
+WIDTH, FREQUENT, OVER_MEAN = 1 << 20, 4096, 8
+#: Counters that move together, and bytes of text for each bucket of k-grams or documents (one bucket is held at a time).
+CELL, BUCKET_BYTES = 1 << 14, 64 << 20
+#: The place of a null id in the order of ids.
+_NULL = -(1 << 63)
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _ALL = (1 << 64) - 1
 #: An entry: k-gram hash, span hash, document, its part (texts of one id), first string's start, strings, the anchor's offset.
-ENTRY = (("k", "<u8"), ("s", "<u8"), ("doc", "<i8"), ("part", "<u2"), ("start", "<u4"), ("n", "<u1"), ("off", "<u1"))
+ENTRY = (("k", "<u8"), ("s", "<u8"), ("doc", "<i8"), ("part", "<i8"), ("start", "<u4"), ("n", "<u1"), ("off", "<u1"))
 #: Repeats of a document: strings start, start + 1, ... start + n - 1 are repeats.
-REPEAT = (("doc", "<i8"), ("part", "<u2"), ("start", "<u4"), ("n", "<u4"))
+REPEAT = (("doc", "<i8"), ("part", "<i8"), ("start", "<u4"), ("n", "<u4"))
 #: Spans to be fetched.
-WANTED = (("k", "<u8"), ("doc", "<i8"), ("part", "<u2"), ("start", "<u4"), ("n", "<u1"), ("off", "<u1"))
+WANTED = (("k", "<u8"), ("doc", "<i8"), ("part", "<i8"), ("start", "<u4"), ("n", "<u1"), ("off", "<u1"))
 
 
 def pack(cols: dict[str, np.ndarray], kind) -> bytes:
@@ -114,22 +120,28 @@ def spans(data: np.ndarray, text: np.ndarray):
     return inside[first], inside[last], anchor[last], grams, hashes
 
 
-def entries(docs: list[tuple[int, int, bytes]], frequent: np.ndarray) -> dict[str, np.ndarray]:
-    """The entries of (document, part, text) triples."""
+def cell(key: np.ndarray) -> np.ndarray:
+    """A k-gram's counter. Low bits of its hash: anchors have small high ones."""
+    return (key & np.uint64(WIDTH - 1)).astype(np.int64)
+
+
+def entries(docs: list[tuple[int, int, bytes]], frequent: np.ndarray | None) -> dict[str, np.ndarray]:
+    """The entries of (document, part, text) triples, and `at`, where each begins in the texts laid end to end."""
     out = []
-    group, size = [], 0
+    group, size, offset = [], 0, 0
     for doc, part, raw in docs:
         for at in range(0, max(len(raw) - LENGTH + 1, 0), CHUNK // 2):
             piece = raw[at : at + CHUNK // 2 + LENGTH - 1]
             if size + len(piece) > CHUNK:
                 out.append(_entries(group, frequent))
                 group, size = [], 0
-            group.append((doc, part, at, piece))
+            group.append((doc, part, at, offset, piece))
             size += len(piece)
+        offset += len(raw)
     if group:
         out.append(_entries(group, frequent))
     out = [x for x in out if x is not None]
-    return {n: np.concatenate([x[n] for x in out]) if out else np.zeros(0, t) for n, t in ENTRY}
+    return {n: np.concatenate([x[n] for x in out]) if out else np.zeros(0, t) for n, t in (*ENTRY, ("at", "<i8"))}
 
 
 def _entries(group, frequent):
@@ -142,14 +154,15 @@ def _entries(group, frequent):
     first, last, anchor, grams, hashes = found
     other = Hashes(data, _BASES[1])
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    docs, parts, ats = (np.array([g[i] for g in group], np.int64) for i in range(3))
+    docs, parts, ats, offsets = (np.array([g[i] for g in group], np.int64) for i in range(4))
 
     def made(key, span, first, count, off):
         t = text[first]
-        return {"k": key, "s": span, "doc": docs[t], "part": parts[t].astype(np.uint16), "start": (first - begin[t] + ats[t]).astype(np.uint32), "n": count.astype(np.uint8), "off": off.astype(np.uint8)}
+        start = first - begin[t] + ats[t]
+        return {"k": key, "s": span, "doc": docs[t], "part": parts[t], "start": start.astype(np.uint32), "n": count.astype(np.uint8), "off": off.astype(np.uint8), "at": start + offsets[t]}
 
     key = grams[anchor]
-    often = np.isin(key, frequent) if len(frequent) else np.zeros(len(key), bool)
+    often = frequent[cell(key)] if frequent is not None else np.zeros(len(key), bool)
     shape = ((anchor - first) * 256 + (last - first)).astype(np.uint64)
     plain = made(key, mix(other.of(first, last + LENGTH) ^ mix(shape + np.uint64(1))), first, last - first + 1, anchor - first)
     if not often.any():
@@ -157,7 +170,34 @@ def _entries(group, frequent):
     lengths = (last - first + 1)[often]
     each = np.repeat(first[often] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
     single = made(mix(hashes.of(each, each + LENGTH) + np.uint64(1)), mix(other.of(each, each + LENGTH)), each, np.ones(len(each)), np.zeros(len(each)))
-    return {n: np.concatenate([plain[n][~often], single[n]]) for n, _ in ENTRY}
+    return {n: np.concatenate([plain[n][~often], single[n]]) for n in plain}
+
+
+def tell_apart(cols: dict[str, np.ndarray], data: np.ndarray) -> dict[str, np.ndarray]:
+    """The entries, with another span hash where the bytes (in `data`, from `at` on) differ from those of the first entry of equal hashes.
+
+    Such spans then share only their k-gram, so their strings are compared in the suffix sort.
+    """
+    if len(data) < LENGTH or not len(cols["k"]):
+        return cols
+    order = np.lexsort((cols["s"], cols["k"]))
+    cols = take(cols, order)
+    head = np.append(True, (cols["k"][1:] != cols["k"][:-1]) | (cols["s"][1:] != cols["s"][:-1]))
+    lead = np.flatnonzero(head)[np.cumsum(head) - 1]
+    view = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+    rest = np.flatnonzero(~head)
+    for i in range(0, len(rest), 1 << 14):
+        a = rest[i : i + (1 << 14)]
+        b = lead[a]
+        more = cols["n"][a].astype(np.int64) - 1  # a span is covered by its first and its last string
+        x, y = cols["at"][a], cols["at"][b]
+        differ = (cols["n"][a] != cols["n"][b]) | (view[x] != view[y]).any(axis=1)
+        same = np.flatnonzero(~differ)
+        differ[same] = (view[(x + more)[same]] != view[(y + more)[same]]).any(axis=1)
+        for j in a[differ].tolist():
+            at, size = int(cols["at"][j]), int(cols["n"][j]) + LENGTH - 1
+            cols["s"][j] = np.uint64(int.from_bytes(blake2b(data[at : at + size].tobytes(), digest_size=8).digest(), "little"))
+    return cols
 
 
 def settle(cols: dict[str, np.ndarray]) -> tuple[dict, dict]:
@@ -185,15 +225,18 @@ def merge(repeats: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return out
 
 
-def target(doc: np.ndarray, count: int) -> np.ndarray:
-    """pmod(xxhash64(doc), count) as Spark computes it."""
+def target(doc: np.ndarray, part: np.ndarray, count: int) -> np.ndarray:
+    """pmod(xxhash64(doc, part), count) as Spark computes it."""
     p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
     turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
-    h = np.full(len(doc), 42, np.uint64) + p5 + np.uint64(8)
-    h = turn(h ^ (turn(doc.astype(np.int64).view(np.uint64) * p2, 31) * p1), 27) * p1 + p4
-    h = (h ^ (h >> np.uint64(33))) * p2
-    h = (h ^ (h >> np.uint64(29))) * p3
-    return ((h ^ (h >> np.uint64(32))).view(np.int64) % count).astype(np.int64)
+    h = np.full(len(doc), 42, np.uint64)
+    for value in (doc, part):
+        h = h + p5 + np.uint64(8)
+        h = turn(h ^ (turn(value.astype(np.int64).view(np.uint64) * p2, 31) * p1), 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h = h ^ (h >> np.uint64(32))
+    return (h.view(np.int64) % count).astype(np.int64)
 
 
 def _bounds(where: np.ndarray):
@@ -222,20 +265,25 @@ def _map(frequent, buckets: int):
     """Documents to packed entries by k-gram bucket, and the repeats that a task finds by itself."""
 
     def run(batches):
-        held, count = [], 0
+        held, texts, count, size = [], [], 0, 0
 
         def flush():
-            first, repeats = settle({n: np.concatenate([h[n] for h in held]) for n, _ in ENTRY})
-            yield _batch([*_by((first["k"] >> np.uint64(8)) % np.uint64(buckets), first, ENTRY, _ENTRIES), *_by(target(repeats["doc"], buckets), repeats, REPEAT, _REPEATS)])
+            cols = {n: np.concatenate([h[n] for h in held]) for n in held[0]}
+            first, repeats = settle(tell_apart(cols, np.frombuffer(b"".join(texts), np.uint8)))
+            yield _batch([*_by((first["k"] >> np.uint64(8)) % np.uint64(buckets), first, ENTRY, _ENTRIES), *_by(target(repeats["doc"], repeats["part"], buckets), repeats, REPEAT, _REPEATS)])
 
         for batch in batches:
             for part in slices(batch):
                 docs = list(zip(*(part.column(c).to_pylist() for c in ("key", "part")), (t.encode() for t in part.column("text").to_pylist()), strict=True))
-                held.append(entries(docs, frequent.value))
-                count += len(held[-1]["k"])
+                found = entries(docs, frequent.value)
+                found["at"] += size
+                held.append(found)
+                texts += [raw for *_, raw in docs]
+                size += sum(len(raw) for *_, raw in docs)
+                count += len(found["k"])
                 if count >= HELD:
                     yield from flush()
-                    held, count = [], 0
+                    held, texts, count, size = [], [], 0, 0
         if count:
             yield from flush()
 
@@ -262,12 +310,12 @@ def _reduce(buckets: int):
     def finish(bucket, rows):
         out = [(bucket, _REPEATS, p) for kind, p in rows if kind == _REPEATS]
         first, repeats = settle(unpack([p for kind, p in rows if kind == _ENTRIES], ENTRY))
-        out += _by(target(repeats["doc"], buckets), repeats, REPEAT, _REPEATS)
+        out += _by(target(repeats["doc"], repeats["part"], buckets), repeats, REPEAT, _REPEATS)
         alone = np.ones(len(first["k"]), bool)
         alone[1:] &= first["k"][1:] != first["k"][:-1]
         alone[:-1] &= first["k"][1:] != first["k"][:-1]
         wanted = {n: first[n][~alone] for n, _ in WANTED}
-        out += _by(target(wanted["doc"], buckets), wanted, WANTED, _WANTED)
+        out += _by(target(wanted["doc"], wanted["part"], buckets), wanted, WANTED, _WANTED)
         yield _batch(out)
 
     return lambda batches: _runs(batches, finish)
@@ -418,12 +466,12 @@ def _resolve(buckets: int):
             found.append(resolve(take(wanted, some), np.frombuffer(data, np.uint8)))
             a = b
         repeats = merge({n: np.concatenate([f[n] for f in found]) for n, _ in REPEAT})
-        yield _batch(list(_by(target(repeats["doc"], buckets), repeats, REPEAT, _REPEATS)))
+        yield _batch(list(_by(target(repeats["doc"], repeats["part"], buckets), repeats, REPEAT, _REPEATS)))
 
     return lambda batches: _runs(batches, finish)
 
 
-RESULT = "key long, part int, n_bytes long, n_removed long, n_spans long, kept binary"
+RESULT = "key long, part long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
 def _apply(key, docs, packed) -> pa.Table:
@@ -446,7 +494,7 @@ def _apply(key, docs, packed) -> pa.Table:
         kept.append(raw[done:])
         for n, v in zip(out, (doc, part, len(raw), removed, runs, b"".join(kept)), strict=True):
             out[n].append(v)
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
     return pa.table([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
 
@@ -456,51 +504,74 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte goes if a LENGTH-byte string over it also starts earlier: in a smaller doc_id, or earlier in the same
     document; all is judged on the input. A null or empty text has no bytes; one shorter than LENGTH stays. A null doc_id
     comes before all others. Rows of one doc_id with the same text are one document and get the same result; with
-    different texts they are parts of it, in an order set by a hash of the text. Matches never cross rows. An empty table gives no rows; other columns are not looked
+    different texts, however many, they are parts of it, in an order set by a hash of the text. Matches never cross rows. An empty table gives no rows; other columns are not looked
     at.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a task packs a row for each, so not more than tasks
     read = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    read = read.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
-    sign = F.xxhash64(F.col("doc_id").isNull(), "text")
-    ids = cut(read.groupBy("key").agg(F.min(sign).alias("a"), F.max(sign).alias("b"), F.count("*").alias("n")))
-    rows, shared = ids.agg(F.sum("n"), F.max((F.col("a") != F.col("b")).cast("int"))).first()
-    if shared:  # different texts under one id: number them
-        signs = read.select("key", sign.alias("sign")).distinct()
-        lower = signs.select(F.col("key").alias("k"), F.col("sign").alias("s"))
-        number = signs.join(lower, (F.col("key") == F.col("k")) & (F.col("s") < F.col("sign")), "left").groupBy("key", "sign").agg(F.count("s").cast("int").alias("part"))
-        read = read.withColumn("sign", sign).join(cut(number), ["key", "sign"]).drop("sign")
-    else:
-        read = read.withColumn("part", F.lit(0))
-    texts = read.select("key", "part", "text")
-    frequent = spark.sparkContext.broadcast(_frequent(texts, rows or 0))
+    null = F.col("doc_id").isNull()
+    read = read.withColumn("key", F.coalesce("doc_id", F.lit(_NULL).cast("long")))
+    by = ["key", null.alias("none")]
+    sign = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    ids = read.groupBy(*by).agg(F.min(sign).alias("a"), F.max(sign).alias("b"), F.sum(F.octet_length("text")).alias("size"))
+    size, shared = ids.agg(F.sum("size"), F.max((F.col("a") != F.col("b")).cast("int"))).first()
+    salt, part = 0, F.lit(0).cast("long")
+    while shared:  # different texts under one id are told apart by a hash that is checked to do so
+        part = F.shiftrightunsigned(F.xxhash64(F.lit(salt), "text"), 1)
+        sha = F.sha2("text", 256)
+        if not read.groupBy(*by, part.alias("part")).agg((F.min(sha) != F.max(sha)).alias("mixed")).where("mixed").head(1):
+            break
+        salt += 1
+    texts = read.select("key", F.when(null, -1 - part).otherwise(part).alias("part"), "text")  # a null id's parts are negative
+    # a task holds a bucket at a time, so there are more of them the more text there is
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // BUCKET_BYTES))
+    frequent = spark.sparkContext.broadcast(_frequent(texts))
     mapped = texts.mapInArrow(_map(frequent, buckets), _PACKED)
     first = cut(mapped.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_reduce(buckets), _PACKED))
-    placed = texts.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")).groupBy("bucket")
+    placed = texts.withColumn("bucket", F.pmod(F.xxhash64("key", "part"), F.lit(buckets)).cast("int")).groupBy("bucket")
     wanted = first.where(F.col("kind") == _WANTED).groupBy("bucket")
     fetched = placed.cogroup(wanted).applyInArrow(_fetch(buckets), _PACKED + ", text binary")
     second = fetched.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolve(buckets), _PACKED)
     repeats = first.where(F.col("kind") == _REPEATS).unionByName(second).groupBy("bucket")
     out = placed.cogroup(repeats).applyInArrow(_apply, RESULT)
-    null = F.col("key") == -(1 << 63)
-    return out.select(F.when(~null, F.col("key")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    return out.select(F.when((F.col("key") != _NULL) | (F.col("part") >= 0), F.col("key")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 
 
-def _frequent(texts: DataFrame, rows: int) -> np.ndarray:
-    """Sorted hashes of k-grams with FREQUENT or more different spans in a sample of SAMPLE documents."""
-    sample = texts.sample(min(1.0, SAMPLE / max(rows, 1)), seed=7) if rows > SAMPLE else texts
+def _frequent(texts: DataFrame) -> np.ndarray | None:
+    """A mark for each counter whose k-grams have FREQUENT or more spans in all documents (OVER_MEAN times the mean, if that is
+    more), or None without any. Spans count once in each batch of a task, as they reach the reducers. Each task fills WIDTH
+    counters, which are summed over the tasks in cells; only marked ones reach the driver."""
 
-    def run(batches):
-        none = np.zeros(0, np.uint64)
+    def count(batches):
+        totals = np.zeros(WIDTH, np.uint32)
         for batch in batches:
             for part in slices(batch):
-                found = entries([(0, 0, t.encode()) for t in part.column("text").to_pylist()], none)
-                pairs = np.unique(np.stack([found["k"], found["s"]], axis=1), axis=0).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["k", "s"])
-
-    counts = sample.select("text").mapInArrow(run, "k long, s long").distinct().groupBy("k").count()
-    return np.sort(np.array([r["k"] for r in counts.where(F.col("count") >= FREQUENT).select("k").collect()], np.int64).view(np.uint64))
+                found = entries([(0, 0, t.encode()) for t in part.column("text").to_pylist()], None)
+                order = np.lexsort((found["s"], found["k"]))
+                key, span = found["k"][order], found["s"][order]
+                new = np.append(True, (key[1:] != key[:-1]) | (span[1:] != span[:-1])) if len(key) else np.zeros(0, bool)
+                totals += np.bincount(cell(key[new]), minlength=WIDTH).astype(np.uint32)
+        for i in range(WIDTH // CELL if totals.any() else 0):
+            some = totals[i * CELL : (i + 1) * CELL]
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([some.view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary())], ["cell", "counts"])  # low bytes first: they pack well
+
+    def add(batches):
+        def finish(i, rows):
+            total = np.zeros(CELL, np.int64)
+            for (raw,) in rows:
+                total += np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+            high = np.flatnonzero(total >= FREQUENT)
+            yield pa.RecordBatch.from_arrays([pa.array([int(total.sum())]), pa.array([(high + i * CELL).tolist()], pa.list_(pa.int32())), pa.array([total[high].tolist()], pa.list_(pa.int64()))], ["total", "high", "counts"])
+
+        yield from _runs(batches, finish)
+
+    summed = texts.select("text").mapInArrow(count, "cell int, counts binary").repartition("cell").sortWithinPartitions("cell")
+    rows = summed.mapInArrow(add, "total long, high array<int>, counts array<long>").collect()
+    least = max(FREQUENT, OVER_MEAN * sum(r["total"] for r in rows) / WIDTH)
+    marks = np.zeros(WIDTH, bool)
+    for r in rows:
+        marks[[c for c, n in zip(r["high"], r["counts"], strict=True) if n >= least]] = True
+    return marks if marks.any() else None
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

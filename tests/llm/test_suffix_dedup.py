@@ -66,8 +66,8 @@ def test_shared_ids_and_empty(spark):
 
 def test_target(spark):
     ids = [0, 1, -1, 5, 10**12, -(1 << 63), (1 << 63) - 1]
-    want = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "a long").selectExpr("pmod(xxhash64(a), 13)").collect()]
-    assert suffix_dedup.target(np.array(ids), 13).tolist() == want
+    want = [r[0] for r in spark.createDataFrame([(i, i // 3 - 1) for i in ids], "a long, b long").selectExpr("pmod(xxhash64(a, b), 13)").collect()]
+    assert suffix_dedup.target(np.array(ids), np.array([i // 3 - 1 for i in ids]), 13).tolist() == want
 
 
 def test_small_batches(spark, monkeypatch):
@@ -106,5 +106,45 @@ def test_long_text_in_pieces(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 1 << 12)
     rng = random.Random(5)
     raw = bytes(rng.choice(b"abcd") for _ in range(30000))
-    got = suffix_dedup.entries([(1, 0, raw)], np.zeros(0, np.uint64))
+    got = suffix_dedup.entries([(1, 0, raw)], None)
     assert got["n"].astype(int).sum() == len(raw) - 99
+
+
+def test_many_texts_of_no_id(spark):
+    """More texts under one id than 16 bits number; a null id comes before the smallest id there is."""
+    long = " ".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(8))
+    rows = [(None, f"text {i}") for i in range(70_000)] + [(None, long), (-(1 << 63), long), (-(1 << 63), "x"), (3, long)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert len(got) == len(rows)
+    texts = sorted((r["doc_id"] is not None, r["doc_id"], bytes(r["kept"])) for r in got if r["n_bytes"] != len(long))
+    assert texts == sorted((d is not None, d, t.encode()) for d, t in rows if t != long)
+    assert {r["doc_id"]: r["n_removed"] for r in got if r["n_bytes"] == len(long)} == {None: 0, -(1 << 63): len(long), 3: len(long)}
+
+
+def test_frequent_over_all_documents(spark, monkeypatch):
+    """A k-gram with many different spans is marked from the count over all tasks, however few one task sees."""
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", 150)
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    line = noise(60)
+    frame = spark.createDataFrame([(i, noise(150) + (line if i % 2 else "") + noise(150)) for i in range(400)], "doc_id long, text string")
+    marks = suffix_dedup._frequent(frame.repartition(40))
+    key = suffix_dedup.entries([(0, 0, (noise(80) + line + noise(80)).encode())], None)["k"]
+    assert marks is not None and marks[suffix_dedup.cell(key)].any() and marks.sum() < 40
+    rows = [(r["doc_id"], r["text"]) for r in frame.collect()]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(frame.repartition(9)).collect()}
+    assert got == brute(rows)
+
+
+def test_equal_hashes_of_different_bytes():
+    rng = np.random.default_rng(2)
+    raw = rng.integers(97, 110, 2000).astype(np.uint8).tobytes()
+    cols = suffix_dedup.entries([(1, 0, raw), (2, 0, raw)], None)
+    half = len(cols["k"]) // 2
+    both = np.frombuffer(raw + raw, np.uint8).copy()
+    assert len(suffix_dedup.settle(suffix_dedup.tell_apart(dict(cols), both))[0]["k"]) == half
+    both[3000] += 1  # now the bytes differ, as if hashes had met
+    first, repeats = suffix_dedup.settle(suffix_dedup.tell_apart({n: v.copy() for n, v in cols.items()}, both))
+    assert half < len(first["k"]) < half + 20
+    starts, counts = repeats["start"].astype(int), repeats["n"].astype(int)
+    assert not any(s <= 1000 < s + n + 99 for a, c in zip(starts, counts, strict=True) for s, n in ((a + i, 1) for i in range(c)))
