@@ -14,15 +14,16 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlog.llm.common import append, free_name, held_out, map_rows, table
 
-#: Bounds of the training sample: the most frequent labels, texts for each (smallest hash of doc_id), their length.
-MAX_LANGS, PER_LANG, MAX_CHARS = 32, 300, 20_000
-#: Spliced training sequences of each label, their pieces and words in a piece.
-SEQUENCES, PIECES, PIECE = 700, (1, 3), (2, 24)
+#: Bounds of the training sample: about so many texts of a label, and in all; the least of a label, whatever the number of labels; and
+#: characters of a text: of a longer one a stretch at a place set by its hash is learned from.
+PER_LANG, TEXTS, LEAST, CHARS = 300, 9_600, 20, 20_000
+#: Spliced training sequences of each label and in all, their pieces and words in a piece.
+SEQUENCES, MOST_SEQUENCES, PIECES, PIECE = 700, 22_400, (1, 3), (2, 24)
 EPOCHS, BATCH, RATE = 4, 128, 0.3
 #: Words of a text run that are processed side by side, and memoised words of a worker (speed only).
 STEP, MEMO = 96, 200_000
@@ -70,6 +71,11 @@ def word_features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray
     return np.concatenate([f for f, _ in parts]), np.concatenate([w for _, w in parts])
 
 
+def tokens(text: str) -> list[str]:
+    """The text's lower-case tokens, for learning and for labelling alike."""
+    return text.lower().replace(".", " ").replace(",", " ").replace("!", " ").replace("\x02", " ").split()
+
+
 def clean(token: str) -> str:
     """The token without what isn't a letter at its ends; empty if it has no letter."""
     if token.isalpha():
@@ -147,7 +153,7 @@ def train(texts: list[tuple[str, str]], seed: int = 7) -> Crf:
     by_lang: dict[str, list[list[str]]] = {}
     counts: dict[str, Counter] = {}
     for text, lang in texts:
-        words = [w for w in map(clean, text.lower().replace("\x02", " ").split()) if w]
+        words = [w for w in map(clean, tokens(text)) if w]
         if words:
             by_lang.setdefault(lang, []).append(words)
             counts.setdefault(lang, Counter()).update(words)
@@ -161,7 +167,7 @@ def train(texts: list[tuple[str, str]], seed: int = 7) -> Crf:
         lexicon |= {w: number for w, n in counts[lang].items() if n >= 4 and n >= 0.8 * totals[w]}
     rng, sequences = random.Random(seed), []
     for own in range(k):
-        for _ in range(SEQUENCES):
+        for _ in range(max(50, min(SEQUENCES, MOST_SEQUENCES // k))):
             words, labels = [], []
             for piece in range(rng.randint(*PIECES)):
                 label = own if piece == 0 else rng.randrange(k)
@@ -255,10 +261,10 @@ class Labeller:
 
     def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Rows of all words with a letter, and how many each text has."""
-        split = [t.lower().replace(".", " ").replace(",", " ").replace("!", " ").replace("\x02", " ").split() if t else [] for t in texts]
-        tokens = [t for words in split for t in words]
-        self.learn(set(tokens))
-        at = np.fromiter(map(self.rows.__getitem__, tokens), np.int64, len(tokens))
+        split = [tokens(t) if t else [] for t in texts]
+        every = [t for words in split for t in words]
+        self.learn(set(every))
+        at = np.fromiter(map(self.rows.__getitem__, every), np.int64, len(every))
         ends = np.cumsum([len(words) for words in split])
         word = at >= 0
         before = np.concatenate([[0], np.cumsum(word)])
@@ -308,20 +314,31 @@ class Labeller:
         return total
 
 
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
+    """(text, lang) of a bounded sample of learnable rows (see held_out) with an id, a lang and a text that isn't empty, in a fixed order.
+
+    Each label gives the rows whose hash of id and text lies below a cutoff, set from an approximate count, so nothing is sorted
+    or ranked and a label's rows don't meet in a task. Equal rows count once. What is sent grows with the labels, as the model does.
+    """
+    text, lang = docs[text_col].cast("string"), docs[lang_col].cast("string")
+    known = docs.where(docs[id_col].isNotNull() & lang.isNotNull() & (F.length(text) > 0) & ~held_out(docs[id_col]))
+    rows = known.select(F.shiftrightunsigned(F.xxhash64(docs[id_col], text), 1).alias("h"), lang.alias("lang"), text.alias("text"))
+    counts = [tuple(r) for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02)).collect()]
+    if not counts:
+        return []
+    quota = max(LEAST, min(PER_LANG, TEXTS // len(counts)))
+    cutoffs = [(x, (1 << 63) - 1 if n <= quota else int(quota / n * (1 << 63))) for x, n in counts]
+    least = docs.sparkSession.createDataFrame(cutoffs, "lang string, cutoff long")
+    size = F.length("text")
+    place = F.when(size > CHARS, F.pmod(F.col("h"), size - CHARS + 1) + 1).otherwise(1)
+    picked = rows.join(F.broadcast(least), "lang").where(F.col("h") <= F.col("cutoff")).select("lang", "h", F.substr("text", place.cast("int"), F.lit(CHARS)).alias("text"))
+    found = picked.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+    return sorted((r["text"], r["lang"]) for r in found)
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Crf:
-    """Trains on a bounded sample of learnable rows (see held_out) with a lang and a text: at most MAX_LANGS * PER_LANG texts."""
-    known = docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull() & docs[id_col].isNotNull() & ~held_out(docs[id_col]))
-    size = F.char_length(docs[text_col])
-    rows = known.where(size.between(1, MAX_CHARS)).select(docs[id_col].alias("id"), docs[lang_col].cast("string").alias("lang"))
-    common = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    picked = rows.where(F.col("lang").isin(common)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    for part in (["lang", "salt"], ["lang"]):  # salted first: a language's rows don't meet in one task
-        order = Window.partitionBy(*part).orderBy(F.xxhash64("id"), "id")
-        picked = picked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PER_LANG)
-    ids = [r["id"] for r in picked.select("id").distinct().collect()]
-    sample = known.where(docs[id_col].isin(ids) & size.between(1, MAX_CHARS)).select(docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"))
-    limit = MAX_LANGS * PER_LANG
-    return train(sorted((r["text"], r["lang"]) for r in sample.limit(limit).collect() if r["lang"] in common))
+    """Trains on the bounded sample; every label of a learnable row can be predicted."""
+    return train(sample(docs, id_col, text_col, lang_col))
 
 
 def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

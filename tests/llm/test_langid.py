@@ -89,3 +89,35 @@ def test_odd_rows(spark):
     assert kept.columns == df.columns and kept.count() == 5
     empty = df.limit(0)
     assert langid.identify(empty, langid.fit(empty)).count() == 0
+
+
+def test_many_labels_and_long_texts(spark, monkeypatch):
+    """No cap on labels; a label whose texts are all long is learned too; the sample is the same however the rows lie."""
+    monkeypatch.setattr(langid, "MOST_SEQUENCES", 2_000)
+    rng = random.Random(4)
+    spell = lambda k: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz"[k % 20 : k % 20 + 6]) + str.lower(chr(97 + k % 26)) for _ in range(rng.randint(1, 4))) for _ in range(40)]
+    lexicons = [spell(k) for k in range(36)]
+    rows = [(k * 100 + i, " ".join(rng.choice(lexicons[k]) for _ in range(40)), f"l{k:02}") for k in range(36) for i in range(12)]
+    rows += [(9_000 + i, " ".join(rng.choice(["zebra", "zulu", "zinc"]) for _ in range(6_000)), "long") for i in range(8)]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string")
+    found = langid.sample(docs.repartition(5))
+    assert found == langid.sample(docs.repartition(2))
+    assert {lang for _, lang in found} == {r[2] for r in rows} and max(len(t) for t, _ in found) == langid.CHARS
+    model = langid.fit(docs)
+    assert len(model.langs) == 37
+    got = langid.Labeller(model).label(["zulu zinc zebra", " ".join(lexicons[35][:20])])
+    assert [g[0] for g in got] == ["long", "l35"]
+
+
+def test_one_tokeniser():
+    texts = [("alpha,beta.gamma!delta", "x"), ("one two", "y")]
+    model = langid.train(texts * 5)
+    assert {w for w, k in model.lexicon.items() if model.langs[k] == "x"} == {"alpha", "beta", "gamma", "delta"}
+    assert langid.Labeller(model).words(["alpha,beta.gamma!delta"])[1].tolist() == [4]
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PER_LANG", 50)
+    docs = spark.range(0, 30_000).selectExpr("id % 10000 as doc_id", "concat('word ', id % 10000) as text", "if(id % 10 < 9, 'en', 'de') as lang")
+    found = langid.sample(docs)
+    assert all(25 < sum(lang == x for _, lang in found) < 80 for x in ("en", "de")) and len(set(found)) == len(found)
