@@ -12,7 +12,7 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package's modules to all Python workers of the session's application, once.
+    """Sends the package's modules and word lists to all Python workers of the session's application, once.
 
     Without it, workers find the package only if it is installed there or on their path.
     """
@@ -22,7 +22,7 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     path = Path(tempfile.mkdtemp(prefix="strandlog-")) / "strandlog_modules.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-        for module in sorted(root.rglob("*.py")):
-            out.write(module, module.relative_to(root.parent))
+        for file in sorted(f for f in root.rglob("*") if f.suffix in (".py", ".txt")):
+            out.write(file, file.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
