@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -36,9 +37,44 @@ def test_urls(spark):
     for i, (url, want) in enumerate(cases.items()):
         assert tuple(got[i][c] for c in ("host", "path", "rule", "verdict")) == want, url
     assert got[None]["verdict"] == "block"
+    some = [r for r in rows if r[0] in (3, 10)] * 3
+    again = url_filter.judge_urls(spark.createDataFrame(some, "page_id long, url string, host string"))
+    assert sorted(r["page_id"] for r in again.collect()) == [3] * 3 + [10] * 3 and again.distinct().count() == 2
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_vocabulary(spark):
+    """Random urls full of terms, joined with and without boundaries, against a regular expression for each term; and the SQL."""
+    import duckdb
+
+    rng = random.Random(12)
+    terms = url_filter.TERMS
+    assert {w >= url_filter.LIMIT for w in terms.values()} == {True, False} and all(0 < w <= 100 for w in terms.values())
+    words = [*terms, "garden", "essex", "x", "9", "Ünder"]
+    urls = ["".join(rng.choice(["http://h.io/", "HTTPS://Casino.io/", ""])) + "".join(rng.choice(words).title() + rng.choice("-/_.?=&#% a7é") for _ in range(rng.randint(0, 5))) for _ in range(3000)]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.judge_urls(frame, rules=()).collect()}
+    verdicts = set()
+    for i, url in enumerate(urls):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in url)
+        hits = [w for t, w in terms.items() if re.search(f"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])", low)]
+        want = (sum(w >= 100 for w in hits), sum(w < 100 for w in hits), sum(hits), "block" if sum(hits) >= 100 else "allow")
+        assert tuple(got[i][c] for c in ("n_strict", "n_soft", "weight", "verdict")) == want, url
+        verdicts.add((want[0] > 0, want[1] > 1, want[3]))
+    assert {(True, False, "block"), (False, True, "block"), (False, True, "allow"), (False, False, "allow")} <= verdicts
+    pages = frame.toPandas()  # noqa: F841
+    sql = duckdb.sql(url_filter.ORACLE).fetchall()
+    ours = url_filter.judge_urls(frame).collect()
+    assert sorted(sql, key=lambda r: r[0]) == sorted((tuple(r) for r in ours), key=lambda r: r[0])
+
+
+def test_url_terms_file(tmp_path):
+    (tmp_path / "t").write_text("# c\n100 Bad\n 40 two words # x\n\n", encoding="utf-8")
+    assert url_filter.read_terms(tmp_path / "t") == {"bad": 100, "two words": 40}
+    judge = url_filter.UrlJudge((), {"a": 60, "b": 39, "c": 1}, 100)
+    assert [judge.judge(f"x://h/{p}")[3] for p in ("a-b", "a-b-c", "a-a-a", "b-c")] == ["allow", "block", "allow", "allow"]
+
+
 def plain_top(rows, k):
     ok = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
