@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The total order of events, over all aggregates: most significant first.
@@ -43,6 +46,43 @@ SNAPSHOT = T.StructType(
 )
 
 
+class SchemaVersionError(Exception):
+    """Events of a schema version that this code doesn't know."""
+
+
+@dataclass(frozen=True)
+class Migration:
+    """The step to a schema version and back, as changes of a frame of events."""
+
+    version: int
+    up: Callable[[DataFrame], DataFrame]
+    down: Callable[[DataFrame], DataFrame]
+
+
+#: Steps in the order of versions. Version 1 had times in whole seconds, version 2 no routing key.
+MIGRATIONS = (
+    Migration(2, lambda df: df.withColumn("timestamp_subsec", F.coalesce("timestamp_subsec", F.lit(0))), lambda df: df.drop("timestamp_subsec")),
+    Migration(3, lambda df: df.withColumn("routing_key", F.col("routing_key")), lambda df: df.drop("routing_key")),
+)
+
+
+def upgrade(events: DataFrame, version: int, target: int = SCHEMA_VERSION) -> DataFrame:
+    """Events written under a schema version, as the target version (by default today's) has them: steps up or down, one by one.
+
+    Columns that a version lacks are read as null before its step.
+    """
+    known = {1, *(m.version for m in MIGRATIONS)}
+    if version not in known or target not in known:
+        raise SchemaVersionError(f"from {version} to {target}: known are {sorted(known)}")
+    for m in MIGRATIONS:
+        if version < m.version <= target:
+            events = m.up(events)
+    for m in reversed(MIGRATIONS):
+        if target < m.version <= version:
+            events = m.down(events)
+    return events
+
+
 def type_name(package: str, name: str) -> str:
     """The aggregator type of an aggregate: package and name."""
     return f"{package}/{name}"

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
+import time
 import uuid
+from collections.abc import Callable
 from contextlib import suppress
 
 from pyspark.sql import SparkSession
@@ -79,11 +82,52 @@ class Files:
                 self._fs.delete(source, False)
                 raise FileExistsError(name)
 
-    def replace(self, name: str, text: str) -> None:
-        temporary = self._write_temporary(name, text)
+    def delete(self, name: str) -> None:
+        """Removes a file or a folder with all it holds; nothing happens if there is none."""
         if self.local is not None:
-            os.replace(f"{self.local}/{temporary}", f"{self.local}/{name}")
+            path = f"{self.local}/{name}"
+            if os.path.isdir(path):
+                shutil.rmtree(path, ignore_errors=True)
+            else:
+                with suppress(FileNotFoundError):
+                    os.unlink(path)
         else:
-            target = self._path(f"{self.root}/{name}")
-            self._fs.delete(target, False)
-            self._fs.rename(self._path(f"{self.root}/{temporary}"), target)
+            self._fs.delete(self._path(f"{self.root}/{name}"), True)
+
+    def age(self, name: str) -> float:
+        """Seconds since the file or folder was changed; 0 if there is none."""
+        if self.local is not None:
+            with suppress(FileNotFoundError):
+                return time.time() - os.stat(f"{self.local}/{name}").st_mtime
+            return 0.0
+        at = self._path(f"{self.root}/{name}")
+        return time.time() - self._fs.getFileStatus(at).getModificationTime() / 1000 if self._fs.exists(at) else 0.0
+
+    # small values that change: a folder of numbered files, the highest of which holds the value
+
+    def value(self, name: str) -> tuple[int, str | None]:
+        """The number and text of the value's newest version, (-1, None) if there is none."""
+        while True:
+            names = self.names(name)
+            if not names:
+                return -1, None
+            text = self.read(f"{name}/{names[-1]}")
+            if text is not None:  # else two newer ones have come since the names were read
+                return int(names[-1]), text
+
+    def update(self, name: str, change: Callable[[str | None], str | None]) -> str | None:
+        """Sets the value to change(old value) and returns it, or the old one where that is None. Versions are created exclusively:
+        no change is lost, and a reader always finds a whole version."""
+        while True:
+            number, old = self.value(name)
+            new = change(old)
+            if new is None:
+                return old
+            try:
+                self.create(f"{name}/{number + 1:020d}", new)
+            except FileExistsError:
+                continue
+            for n in self.names(name):
+                if int(n) < number:
+                    self.delete(f"{name}/{n}")
+            return new

@@ -2,7 +2,11 @@
 
 A commit writes its events as Parquet, then publishes a numbered manifest that names them. Numbers are taken exclusively, so
 of two writers one publishes and the other looks at what was published and tries again. Readers see
-published files only; a crash between the two steps leaves an unnamed folder and nothing else.
+published files only; a crash between the two steps leaves an unnamed folder, which `vacuum` removes.
+
+Every CHECKPOINT commits the state of the manifests (which folders hold the log) is written down, so a reader takes that and the
+few manifests after it. Each event keeps the folder of its commit as `origin`, so that commits can be followed one by one
+after their folders have been merged into larger ones.
 """
 
 from __future__ import annotations
@@ -11,21 +15,29 @@ import json
 import time
 import uuid
 from collections.abc import Iterable, Sequence
+from contextlib import suppress
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlog.functions.scalars import hash_ids, ulid
 from strandlog.operators.cursor import ASC, Args, Page, paginate
 from strandlog.operators.filters import Read, RoutingKey, scan
 from strandlog.operators.relations import conflicts, union
-from strandlog.schema import EVENT, EVENT_COLUMNS, IDENTITY, MAX_VERSION, SCHEMA_VERSION, SNAPSHOT, EventSpec
+from strandlog.schema import EVENT, EVENT_COLUMNS, IDENTITY, MAX_VERSION, SCHEMA_VERSION, SNAPSHOT, EventSpec, upgrade
 from strandlog.sources.files import Files
 
 
 #: Commits to so many aggregates at most are checked against these aggregates' rows only.
 FEW = 500
+#: Commits from one written state to the next, and snapshot folders that are merged into one.
+CHECKPOINT, SNAPSHOT_FOLDERS = 64, 32
+#: Folders that no reader can be using any more, in seconds.
+GRACE = 86_400.0
+#: Events as they are stored, with the folder of their commit.
+STORED = T.StructType([*EVENT.fields, T.StructField("origin", T.StringType())])
 
 
 class WriteError(Exception):
@@ -87,8 +99,8 @@ class Store:
     def upsert_subscriber(self, key: str, worker: str) -> None:
         self.primary.upsert_subscriber(key, worker)
 
-    def acknowledge(self, key: str, cursor: str, lag_seconds: int) -> None:
-        self.primary.acknowledge(key, cursor, lag_seconds)
+    def acknowledge(self, key: str, cursor: str, lag_seconds: int, newest: int | None = None) -> None:
+        self.primary.acknowledge(key, cursor, lag_seconds, newest)
 
     def create(self) -> Commit:
         """A commit for a new aggregate under a fresh id."""
@@ -114,34 +126,77 @@ class EventStore(Store):
     def _manifests(self, after: int = -1) -> list[dict]:
         return [json.loads(self.files.read(f"log/{n}")) for n in self.files.names("log") if int(n.removesuffix(".json")) > after]
 
-    def _folders(self, manifests: Iterable[dict]) -> list[str]:
-        found: dict[str, None] = {}
+    def _state(self) -> dict:
+        """What the manifests add up to: number (the last one's), folders of the log with their schema versions, and merged (folder
+        to the one that replaced it). Reads the last written state and the manifests after it."""
+        names = self.files.names("state")
+        state = json.loads(self.files.read(f"state/{names[-1]}")) if names else {"number": -1, "folders": {}, "merged": {}}
+        for m in self._manifests(state["number"]):
+            _apply(state, m)
+        return state
+
+    def _folders(self, manifests: Iterable[dict]) -> dict[str, int]:
+        state = {"number": -1, "folders": {}, "merged": {}}
         for m in manifests:
-            for gone in m["replaces"]:
-                found.pop(gone, None)
-            found |= dict.fromkeys(m["adds"])
-        return list(found)
+            _apply(state, m)
+        return state["folders"]
 
     def version(self) -> int:
         """The number of the last commit, -1 if there is none."""
         names = self.files.names("log")
         return int(names[-1].removesuffix(".json")) if names else -1
 
-    def folders(self, names: Sequence[str]) -> DataFrame:
-        if not names:
-            return self.spark.createDataFrame([], EVENT)
-        at = f"{self.root}/data"
-        return self.spark.read.schema(EVENT).option("basePath", at).parquet(*[f"{at}/{n}" for n in names]).select(*EVENT_COLUMNS)
+    def folders(self, names: dict[str, int] | Sequence[str]) -> DataFrame:
+        """The events of data folders, brought to the schema version of today."""
+        return self._read(names).select(*EVENT_COLUMNS)
+
+    def _read(self, names: dict[str, int] | Sequence[str]) -> DataFrame:
+        versions = names if isinstance(names, dict) else dict.fromkeys(names, SCHEMA_VERSION)
+        out = None
+        for version in sorted(set(versions.values())):
+            at = f"{self.root}/data"
+            paths = [f"{at}/{n}" for n, v in versions.items() if v == version]
+            some = upgrade(self.spark.read.schema(STORED).option("basePath", at).parquet(*paths), version).select(*STORED.fieldNames())
+            out = some if out is None else out.unionByName(some)
+        return self.spark.createDataFrame([], STORED) if out is None else out
+
+    def manifests(self, after: int) -> list[dict]:
+        """The commits with a number above `after`, in order."""
+        return self._manifests(after)
+
+    def commits(self, names: Sequence[str], *extra: str) -> DataFrame:
+        """The events of single commits, by their folders, wherever merging has put them. `origin` as an extra column is the folder."""
+        columns = [*EVENT_COLUMNS, *extra]
+        state, wanted = self._state(), {}
+        for n in names:
+            now = n
+            while now in state["merged"]:
+                now = state["merged"][now]
+            wanted.setdefault(now, []).append(n)
+        whole = [n for n, some in wanted.items() if some == [n]]
+        out = self._read({n: state["folders"].get(n, SCHEMA_VERSION) for n in whole}).select(*columns)
+        for now, some in wanted.items():
+            if now not in whole:
+                out = out.unionByName(self._read({now: state["folders"].get(now, SCHEMA_VERSION)}).where(F.col("origin").isin(some)).select(*columns))
+        return out
 
     def log(self) -> DataFrame:
-        return self.folders(self._folders(self._manifests()))
+        return self.folders(self._state()["folders"])
 
     def _publish(self, number: int, adds: list[str], replaces: list[str], rewrite: bool) -> None:
         self.files.create(f"log/{number:020d}.json", json.dumps({"number": number, "schema_version": SCHEMA_VERSION, "adds": adds, "replaces": replaces, "rewrite": rewrite}))
+        if number % CHECKPOINT == CHECKPOINT - 1:
+            state = self._state()
+            with suppress(FileExistsError):  # another writer has written the same
+                self.files.create(f"state/{state['number']:020d}.json", json.dumps(state))
+            for old in self.files.names("state")[:-2]:
+                self.files.delete(f"state/{old}")
 
     def _save(self, events: DataFrame) -> str:
         folder = f"commit={uuid.uuid4().hex}"
-        events.select(*EVENT_COLUMNS).sortWithinPartitions("aggregator_type", "aggregator_id", "version").write.partitionBy("aggregator_type").parquet(f"{self.root}/data/{folder}")
+        origin = F.col("origin") if "origin" in events.columns else F.lit(folder)
+        stored = events.select(*EVENT_COLUMNS, origin.alias("origin")).sortWithinPartitions("aggregator_type", "aggregator_id", "version")
+        stored.write.partitionBy("aggregator_type").parquet(f"{self.root}/data/{folder}")
         return folder
 
     def write(self, events: Sequence[dict] | DataFrame, strict: bool = False) -> int:
@@ -163,18 +218,19 @@ class EventStore(Store):
             raise WriteError(f"a version is not within 0 to {MAX_VERSION}")
         if saved.groupBy(*IDENTITY).count().where(F.col("count") > 1).head(1):
             raise InvalidOriginalVersion("the batch has an aggregate's version twice")
-        seen, manifests = -1, []
+        state = self._state()
+        new = state["folders"]
         while True:
-            new = self._manifests(seen)
-            manifests += new
             # every check but the first only looks at the commits since
-            self._check(saved, self.folders(self._folders(manifests if strict else new)), strict)
-            seen = new[-1]["number"] if new else seen
+            self._check(saved, self.folders(state["folders"] if strict else new), strict)
             try:
-                self._publish(seen + 1, [folder], [], False)
-                return seen + 1
+                self._publish(state["number"] + 1, [folder], [], False)
+                return state["number"] + 1
             except FileExistsError:
-                continue
+                since = self._manifests(state["number"])
+                new = self._folders(since)
+                for m in since:
+                    _apply(state, m)
 
     def _check(self, batch: DataFrame, log: DataFrame, strict: bool) -> None:
         types = [r[0] for r in batch.select("aggregator_type").distinct().collect()]
@@ -195,63 +251,113 @@ class EventStore(Store):
         return conflicts(batch, self.log())
 
     def compact(self) -> int:
-        """Rewrites all published files as one commit, in a few large files; subscriptions skip it."""
-        number = self.version()
-        folders = self._folders(self._manifests())
+        """Rewrites all published files as one commit, in a few large files of today's schema version; subscriptions skip it."""
+        state = self._state()
+        number, folders = state["number"], state["folders"]
         if not folders:
             return number
-        merged = self._save(self.folders(folders).repartitionByRange("aggregator_type", "aggregator_id"))
+        merged = self._save(self._read(folders).repartitionByRange("aggregator_type", "aggregator_id"))
         while True:
             try:
-                self._publish(number + 1, [merged], folders, True)
+                self._publish(number + 1, [merged], list(folders), True)
                 return number + 1
             except FileExistsError:
                 number = self.version()
 
-    # snapshots: each save is a new folder that a pointer names
+    def vacuum(self, grace: float = GRACE) -> list[str]:
+        """Removes data and snapshot folders that no manifest names any more, or never did, once they are `grace` seconds old.
+
+        Writers and readers must be done with a folder within that time.
+        """
+        gone = []
+        for place, live in (("data", self._state()["folders"]), ("snapshots", self._snapshot_folders()[1])):
+            for name in self.files.names(place):
+                if name not in live and self.files.age(f"{place}/{name}") >= grace:
+                    self.files.delete(f"{place}/{name}")
+                    gone.append(f"{place}/{name}")
+        return gone
+
+    # snapshots: each save adds a folder; the latest row of a key counts, and now and then the folders are merged
+
+    def _snapshot_folders(self) -> tuple[int, list[str]]:
+        number, text = self.files.value("snapshot_state")
+        return number, json.loads(text) if text else []
 
     def snapshots(self) -> DataFrame:
-        folder = self.files.read("snapshots/current")
-        return self.spark.read.schema(SNAPSHOT).parquet(f"{self.root}/{folder}") if folder else self.spark.createDataFrame([], SNAPSHOT)
+        out = self.spark.createDataFrame([], SNAPSHOT).withColumn("seq", F.lit(0))
+        folders = self._snapshot_folders()[1]
+        for seq, folder in enumerate(folders):
+            some = self.spark.read.schema(SNAPSHOT).parquet(f"{self.root}/snapshots/{folder}").withColumn("seq", F.lit(seq))
+            out = out.unionByName(some) if seq else some
+        if len(folders) < 2:
+            return out.drop("seq")
+        key = ["aggregator_type", "aggregator_id", "revision"]
+        latest = F.max_by(F.struct("cursor", "data"), "seq").alias("latest")
+        again = (F.count("*") > 1) | (F.count("updated_at") > 0)
+        rows = out.groupBy(*key).agg(latest, F.min("created_at").alias("created_at"), F.when(again, F.max(F.coalesce("updated_at", "created_at"))).alias("updated_at"))
+        return rows.select(*key, "latest.cursor", "latest.data", "created_at", "updated_at")
 
     def save_snapshots(self, rows: DataFrame) -> None:
-        """Inserts or replaces by (type, id, revision). rows: the snapshot columns but the times."""
+        """Inserts or replaces by (type, id, revision). rows: the snapshot columns but the times. Writes the rows given, no others."""
         key = ["aggregator_type", "aggregator_id", "revision"]
-        now, old = F.current_timestamp(), self.snapshots()
-        made = rows.select(*key, "cursor", "data").join(old.select(*key, "created_at"), key, "left")
-        made = made.select(*key, "cursor", "data", F.coalesce("created_at", now).alias("created_at"), F.when(F.col("created_at").isNotNull(), now).alias("updated_at"))
-        folder = f"snapshots/{uuid.uuid4().hex}"
-        old.join(rows.select(*key), key, "left_anti").select(*SNAPSHOT.fieldNames()).unionByName(made).write.parquet(f"{self.root}/{folder}")
-        self.files.replace("snapshots/current", folder)
+        folder = uuid.uuid4().hex
+        made = rows.select(*key, "cursor", "data", F.current_timestamp().alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"))
+        made.write.parquet(f"{self.root}/snapshots/{folder}")
+        count = len(json.loads(self.files.update("snapshot_state", lambda old: json.dumps([*json.loads(old or "[]"), folder]))))
+        if count > SNAPSHOT_FOLDERS:
+            self.merge_snapshots()
 
-    # subscribers: a small file each
+    def merge_snapshots(self) -> None:
+        """Rewrites the snapshots as one folder; folders saved meanwhile stay after it."""
+        folders = self._snapshot_folders()[1]
+        merged = uuid.uuid4().hex
+        self.snapshots().write.parquet(f"{self.root}/snapshots/{merged}")
+
+        def change(old: str | None) -> str | None:
+            now = json.loads(old or "[]")
+            return json.dumps([merged, *now[len(folders) :]]) if now[: len(folders)] == folders else None  # merged by another
+
+        self.files.update("snapshot_state", change)
+
+    # subscribers: a small value each
 
     def _subscriber_file(self, key: str) -> str:
-        return f"subscribers/{hash_ids([key])}.json"
+        return f"subscribers/{hash_ids([key])}"
 
     def subscriber(self, key: str) -> dict | None:
-        text = self.files.read(self._subscriber_file(key))
+        text = self.files.value(self._subscriber_file(key))[1]
         return json.loads(text) if text else None
 
-    def _put(self, key: str, row: dict) -> None:
-        self.files.replace(self._subscriber_file(key), json.dumps(row))
+    def _change(self, key: str, create: bool = False, **fields) -> None:
+        def change(old: str | None) -> str | None:
+            if old is None and not create:
+                return None
+            row = json.loads(old) if old else {"key": key, "cursor": None, "lag_seconds": 0, "enabled": True, "created_at": time.time()}
+            if fields.get("newest") is None or fields["newest"] < (row.get("newest") or 0):
+                fields.pop("newest", None)
+            return json.dumps(row | fields | {"updated_at": time.time()})
+
+        self.files.update(self._subscriber_file(key), change)
 
     def upsert_subscriber(self, key: str, worker: str) -> None:
         """Makes the worker the only active one; cursor and lag stay."""
-        now = time.time()
-        row = self.subscriber(key) or {"key": key, "cursor": None, "lag_seconds": 0, "enabled": True, "created_at": now}
-        self._put(key, row | {"worker_id": worker, "updated_at": now})
+        self._change(key, create=True, worker_id=worker)
 
-    def acknowledge(self, key: str, cursor: str, lag_seconds: int) -> None:
-        """Does nothing where there is no such subscriber."""
-        row = self.subscriber(key)
-        if row:
-            self._put(key, row | {"cursor": cursor, "lag_seconds": lag_seconds, "updated_at": time.time()})
+    def acknowledge(self, key: str, cursor: str, lag_seconds: int, newest: int | None = None) -> None:
+        """Does nothing where there is no such subscriber. `newest` is a time that events have reached; the latest one is kept."""
+        self._change(key, cursor=cursor, lag_seconds=lag_seconds, newest=newest)
 
     def enable(self, key: str, enabled: bool = True) -> None:
-        row = self.subscriber(key)
-        if row:
-            self._put(key, row | {"enabled": enabled})
+        self._change(key, enabled=enabled)
+
+
+def _apply(state: dict, manifest: dict) -> None:
+    """Brings a state of the log one manifest further."""
+    for gone in manifest["replaces"]:
+        state["folders"].pop(gone, None)
+        state["merged"][gone] = manifest["adds"][0]
+    state["folders"] |= dict.fromkeys(manifest["adds"], manifest["schema_version"])
+    state["number"] = manifest["number"]
 
 
 class GroupStore(Store):
@@ -357,8 +463,9 @@ class Commit:
             raise WriteError(f"{spec.name} has no {', '.join(sorted(unknown))}")
         return replace(self, aggregator_type=spec.aggregator_type, events=(*self.events, (spec.name, json.dumps(payload))))
 
-    def commit(self) -> str:
-        """Writes the events, with versions from the base on and one time, and returns the aggregate's id."""
+    def commit(self, strict: bool = False) -> str:
+        """Writes the events, with versions from the base on and one time, and returns the aggregate's id. `strict` wants the base to be
+        the aggregate's last version, not just free."""
         if not self.events:
             raise MissingData("no events")
         first = self.store.read([Read(self.aggregator_type, self.aggregator_id)], args=Args.forward(1)).rows
@@ -368,5 +475,5 @@ class Commit:
         rows = []
         for n, (name, data) in enumerate(self.events, 1):
             rows.append(common | {"id": ulid(), "version": self.base + n, "name": name, "data": data, "metadata": (ulid(), self.meta)})
-        self.store.write(rows)
+        self.store.write(rows, strict)
         return self.aggregator_id

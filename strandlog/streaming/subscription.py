@@ -5,6 +5,7 @@ The stream's source is the folder of manifests, so a batch is a set of published
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -21,6 +22,10 @@ from strandlog.plans.projection import NoHandler
 from strandlog.schema import EventSpec
 from strandlog.sources.store import EventStore
 
+#: Commits in a micro-batch; within it events are handled in chunks.
+COMMITS = 300
+#: Seconds between looks at a query that may have to be started again.
+WATCH = 1.0
 _MANIFEST = "number long, adds array<string>, replaces array<string>, rewrite boolean"
 
 
@@ -45,7 +50,7 @@ class Subscription:
     key: str
     rules: tuple[Rule, ...] = ()
     routing: RoutingKey = field(default_factory=lambda: RoutingKey.value(None))
-    #: Commits in a batch at most.
+    #: Events handled at a time at most; a commit with more is handled whole.
     chunk: int = 300
     retries: int = 30
     strict: bool = False
@@ -54,6 +59,12 @@ class Subscription:
     ids: tuple[tuple[str, str], ...] = ()
     #: Drops late events: those not beyond the acknowledged cursor.
     strict_cursor: bool = False
+    #: Values that handlers get, by name, as one more argument.
+    shared: tuple[tuple[str, object], ...] = ()
+
+    def data(self, name: str, value: object) -> Subscription:
+        """Shares a value with the handlers, which then take a dict of all such values as their last argument."""
+        return replace(self, shared=(*(s for s in self.shared if s[0] != name), (name, value)))
 
     def on(self, spec: EventSpec, fn: Callable, each: bool = False) -> Subscription:
         return self._with(Rule(spec.aggregator_type, spec.name, fn, each))
@@ -114,26 +125,54 @@ class Subscription:
     # running
 
     def _batch(self, worker: str) -> Callable[[DataFrame, int], None]:
+        ahead: dict = {"number": -1, "newest": None}
+
         def run(manifests: DataFrame, batch_id: int) -> None:
             rows = sorted(manifests.where(~F.col("rewrite")).collect(), key=lambda m: m["number"])
-            folders = [a for m in rows for a in m["adds"]]
-            for attempt in range(self.retries + 1):
-                if not self.store.is_running(self.full_key, worker):
-                    raise Fenced(self.full_key)
-                try:
-                    if folders:
-                        self._process(folders)
-                    return
-                except Exception:
-                    if attempt == self.retries:
-                        raise
-                    time.sleep(min(0.1 * 2**attempt, 60))
+            for part in self._parts(rows):
+                for attempt in range(self.retries + 1):
+                    if not self.store.is_running(self.full_key, worker):
+                        raise Fenced(self.full_key)
+                    try:
+                        self._process([a for m in part for a in m["adds"]], part[-1]["number"], ahead)
+                        break
+                    except Exception:
+                        if attempt == self.retries:
+                            raise
+                        time.sleep(min(0.1 * 2**attempt, 60))
 
         return run
 
-    def _process(self, folders: list[str]) -> None:
-        reads = self.reads()
-        events = scan(self.store.folders(folders), reads, self.routing)
+    def _parts(self, rows: list) -> list[list]:
+        """Runs of commits with at most `chunk` events each, or one commit: a commit is never cut, so its events are seen together."""
+        sizes = dict(self._matching([a for m in rows for a in m["adds"]], "origin").groupBy("origin").count().collect()) if len(rows) > 1 else {}
+        parts, held = [], 0
+        for m in rows:
+            size = sum(sizes.get(a, 0) for a in m["adds"])
+            if not parts or held + size > self.chunk:
+                parts.append([])
+                held = 0
+            parts[-1].append(m)
+            held += size
+        return parts
+
+    def _matching(self, folders: list[str], *extra: str) -> DataFrame:
+        return scan(self.store.commits(folders, *extra), self.reads(), self.routing)
+
+    def _lag(self, number: int, own: int, last: int, ahead: dict) -> int:
+        """Seconds from the batch's last event to the newest one that this subscription follows. Each commit is looked at once:
+        `ahead` remembers how far that has come."""
+        known = [t for t in ((self.store.subscriber(self.full_key) or {}).get("newest"), ahead["newest"], own) if t is not None]
+        pending = [m for m in self.store.manifests(max(number, ahead["number"])) if not m["rewrite"]]
+        if pending:
+            ahead["number"] = pending[-1]["number"]
+            newest = self._matching([a for m in pending for a in m["adds"]]).agg(F.max("timestamp")).first()[0]
+            known += [newest] if newest is not None else []
+        ahead["newest"] = max(known)
+        return max(0, ahead["newest"] - last)
+
+    def _process(self, folders: list[str], number: int, ahead: dict) -> None:
+        events = self._matching(folders)
         if self.strict_cursor and (cursor := self.store.get_cursor(self.full_key)):
             events = events.where(EVENTS.beyond(cursor, False))
         events = events.persist()
@@ -153,20 +192,25 @@ class Subscription:
                 for row in events.orderBy(*EVENTS.order(False)).toLocalIterator():
                     rule = chosen[row["aggregator_type"], row["name"]]
                     if rule is not None and rule.each and rule.fn:
-                        rule.fn(row.asDict(recursive=True))
+                        rule.fn(row.asDict(recursive=True), *self._given)
             for rule in {id(r): r for r in chosen.values() if r is not None and not r.each and r.fn}.values():
                 own = F.col("aggregator_type") == rule.aggregator_type
-                rule.fn(events.where(own if rule.name is None else own & (F.col("name") == rule.name)).orderBy(*EVENTS.order(False)))
-            newest = scan(self.store.log(), reads, self.routing).agg(F.max("timestamp")).first()[0]
-            self.store.acknowledge(self.full_key, EVENTS.encode(last[0]), max(0, newest - last[0]["timestamp"]))
+                rule.fn(events.where(own if rule.name is None else own & (F.col("name") == rule.name)).orderBy(*EVENTS.order(False)), *self._given)
+            lag = self._lag(number, last[0]["timestamp"], last[0]["timestamp"], ahead)
+            self.store.acknowledge(self.full_key, EVENTS.encode(last[0]), lag, newest=last[0]["timestamp"])
         finally:
             events.unpersist()
 
+    @property
+    def _given(self) -> tuple:
+        """What handlers get besides the events: the shared data, if there is any."""
+        return (dict(self.shared),) if self.shared else ()
+
     def _query(self, worker: str, **trigger) -> StreamingQuery:
         if not self.rules:
             raise ValueError("a subscription without handlers")
         self.store.files.ensure("log")
-        source = self.store.spark.readStream.schema(_MANIFEST).option("maxFilesPerTrigger", self.chunk).json(f"{self.store.root}/log")
+        source = self.store.spark.readStream.schema(_MANIFEST).option("maxFilesPerTrigger", COMMITS).json(f"{self.store.root}/log")
         place = f"{self.store.root}/checkpoints/{hash_ids([self.full_key])}"
         return source.writeStream.foreachBatch(self._batch(worker)).option("checkpointLocation", place).trigger(**trigger).start()
 
@@ -191,7 +235,10 @@ class Subscription:
         """Follows the store until shut down or taken over by another worker."""
         time.sleep(self.start_delay)
         worker = self._take()
-        return Running(self, worker, self._query(worker, processingTime=interval), interval)
+        running = Running(self, worker, self._query(worker, processingTime=interval), interval)
+        if self.failures_accepted:
+            threading.Thread(target=running._watch, daemon=True).start()
+        return running
 
 
 @dataclass
@@ -200,19 +247,31 @@ class Running:
     worker: str
     query: StreamingQuery
     interval: str
+    #: Set by shutdown; a query that ends without it has failed or was taken over.
+    ended: threading.Event = field(default_factory=threading.Event)
+    lock: threading.Lock = field(default_factory=threading.Lock)
 
     @property
     def is_active(self) -> bool:
         return self.query.isActive
 
     def supervise(self) -> bool:
-        """Restarts a query that an accepted failure has ended; true if it runs. To be called now and then."""
-        if not self.query.isActive and self.subscription.failures_accepted and self.subscription.store.is_running(self.subscription.full_key, self.worker):
-            self.query = self.subscription._query(self.worker, processingTime=self.interval)
-        return self.query.isActive
+        """Restarts a query that an accepted failure has ended; true if it runs."""
+        with self.lock:
+            mine = self.subscription.failures_accepted and not self.ended.is_set()
+            if mine and not self.query.isActive and self.subscription.store.is_running(self.subscription.full_key, self.worker):
+                self.query = self.subscription._query(self.worker, processingTime=self.interval)
+            return self.query.isActive
+
+    def _watch(self) -> None:
+        """Supervises until shut down or taken over."""
+        while not self.ended.wait(WATCH):
+            if not self.supervise():
+                return
 
     def shutdown(self) -> None:
         """Ends after the batch at hand."""
+        self.ended.set()
         while self.query.isActive and self.query.status["isTriggerActive"] and self.query.status["isDataAvailable"]:
             time.sleep(0.05)
         self.query.stop()
