@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlog.schema import EVENT_KEY
+from strandlog.schema import CURSOR, EVENT_KEY
 
 _CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 _last = [0, 0]
@@ -78,6 +78,13 @@ def cursor_column(*keys: str) -> Column:
     return F.translate(F.base64(listed.cast("binary")), "+/\r\n", "-_")
 
 
+def cursor_values(cursor: Column) -> Column:
+    """The event key in a cursor, as a struct, in the JVM; null where there is no cursor or it holds something else."""
+    text = F.unbase64(F.translate(cursor, "-_", "+/")).cast("string")
+    fields = F.from_json(F.regexp_replace(text, r'^\[(\d+),(\d+),(\d+),("[^"]*")\]$', r'{"timestamp":$1,"timestamp_subsec":$2,"version":$3,"id":$4}'), CURSOR)
+    return F.when(fields["timestamp"].isNotNull(), fields)
+
+
 def split_time(ts: Column) -> tuple[Column, Column]:
     """Unix seconds and truncated milliseconds within the second of a zoneless timestamp, whatever the session's zone."""
     days = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
@@ -94,6 +101,12 @@ def subscriber_key(key: str, routing: str | None = None) -> str:
     return f"{routing}.{key}" if routing else key
 
 
+def subscriber_key_column(key: str, routing: Column | str) -> Column:
+    """subscriber_key for a column of routing keys."""
+    column = F.col(routing) if isinstance(routing, str) else routing
+    return F.when(F.length(column) > 0, F.concat(column, F.lit(f".{key}"))).otherwise(F.lit(key))
+
+
 def encode_payload(*columns: str | Column) -> Column:
     return F.to_json(F.struct(*columns))
 

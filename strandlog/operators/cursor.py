@@ -7,10 +7,10 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 from strandlog.functions.scalars import cursor_column, cursor_decode, cursor_encode
 from strandlog.schema import EVENT_KEY
+from strandlog.sources.shared import cut
 
 DEFAULT_SIZE, MAX_SIZE = 40, 65_534
 ASC, DESC = "asc", "desc"
@@ -147,25 +147,19 @@ def paginate(df: DataFrame, args: Args = Args(), order: str = ASC, spec: CursorS
 def pages(df: DataFrame, size: int, order: str = ASC, spec: CursorSpec = EVENTS) -> DataFrame:
     """All rows with the number (from 0) of the page that a walk of `size` rows a page would give them in.
 
-    Rows are dealt into ranges of the first key (quantiles, if it is a number), counted by range and numbered within it, so no task
-    sorts the whole table unless the key isn't a number or has one value only.
+    Rows are dealt into ranges of the full key, whatever its types and however often its first part repeats, sorted and numbered
+    within each range, and checkpointed, so that ranges and numbers stay what they were. One count for each range moves the numbers.
     """
     if size < 1:
         raise ValueError("page size")
-    down = order == DESC
-    first, first_down = spec.directions(down)[0]
-    ranges = min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    part = F.lit(0)
-    if isinstance(df.schema[first].dataType, NumericType):
-        edges = sorted(set(df.select(F.col(first).cast("double")).approxQuantile(first, [i / ranges for i in range(1, ranges)], 0.2 / ranges)))
-        part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(first))) if edges else part
-        part = -part if first_down else part
-    dealt = df.withColumn("_part", part)
-    within = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*spec.order(down))))
+    keys, count = spec.order(order == DESC), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(count, *keys).sortWithinPartitions(*keys)
+    # the lower 33 bits of this id count the rows of a partition
+    numbered = cut(ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_n")))
     # one row for each range, so their running sum and the broadcast are small
-    sums = dealt.groupBy("_part").agg(F.count("*").alias("_size")).select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    placed = within.join(F.broadcast(sums), "_part")
-    return placed.withColumn("page_no", F.floor((F.col("_before") + F.col("_n") - 1) / size).cast("long")).drop("_part", "_n", "_before")
+    sums = numbered.groupBy("_part").agg(F.count("*").alias("_size")).select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    placed = numbered.join(F.broadcast(sums), "_part")
+    return placed.withColumn("page_no", F.floor((F.col("_before") + F.col("_n")) / size).cast("long")).drop("_part", "_n", "_before")
 
 
 def walk(df: DataFrame, size: int, order: str = ASC, spec: CursorSpec = EVENTS):

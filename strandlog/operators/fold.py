@@ -44,11 +44,11 @@ def first(value: Column, when: Column | None = None) -> Column:
     return _pick(F.min_by, value, when)
 
 
-def algebraic(events: DataFrame, by: Sequence[str] = ("aggregator_id",), **fields: Column) -> DataFrame:
+def algebraic(events: DataFrame, by: Sequence[str] = BY, **fields: Column) -> DataFrame:
     return events.groupBy(*by).agg(*[c.alias(n) for n, c in fields.items()])
 
 
-def ordered(events: DataFrame, initial: dict[str, Column], step: Callable[[Column, Column], dict[str, Column]], uses: Sequence[str], by: Sequence[str] = ("aggregator_id",)) -> DataFrame:
+def ordered(events: DataFrame, initial: dict[str, Column], step: Callable[[Column, Column], dict[str, Column]], uses: Sequence[str], by: Sequence[str] = BY) -> DataFrame:
     """State fields after `step(state, event)` for each event in order. `initial` fixes the fields' types, `uses` names the event columns read."""
     kept = [*EVENT_KEY, *[u for u in uses if u not in EVENT_KEY]]
     lists = events.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("_events"))
@@ -62,7 +62,7 @@ def ordered(events: DataFrame, initial: dict[str, Column], step: Callable[[Colum
     return lists.select(*by, F.aggregate("_events", start, merge).alias("_state")).select(*by, "_state.*")
 
 
-def custom(events: DataFrame, handle: Callable[[dict, dict], None], state: T.StructType | str, by: Sequence[str] = ("aggregator_id",)) -> DataFrame:
+def custom(events: DataFrame, handle: Callable[[dict, dict], None], state: T.StructType | str, by: Sequence[str] = BY) -> DataFrame:
     """State fields after the Python `handle(state, event)` changed the state in place for each event in order."""
     schema = T.StructType.fromDDL(state) if isinstance(state, str) else state
     names = list(by)

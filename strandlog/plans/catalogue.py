@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from strandlog.functions import scalars
 from strandlog.operators import fold, relations
-from strandlog.operators.cursor import ASC, DESC, Args, CursorSpec, pages, paginate
+from strandlog.operators.cursor import ASC, DESC, Args, CursorSpec, paginate
 from strandlog.operators.filters import Read, RoutingKey, project, scan
+from strandlog.schema import type_name
 from strandlog.sources import adapters
 from strandlog.sources.adapters import USER
 
@@ -48,6 +49,11 @@ def _amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log(spark, sf_dir).withColumn("amount", scalars.decode_payload("data", "amount long")["amount"])
 
 
+def _by_id(folded: DataFrame) -> DataFrame:
+    """States of a log of one type."""
+    return folded.drop("aggregator_type")
+
+
 def _rows(df: DataFrame) -> DataFrame:
     return df.select(*FLAT)
 
@@ -61,32 +67,6 @@ def event_log(spark, sf_dir):
     return _rows(project(scan(_log(spark, sf_dir))))
 
 
-@query(f"{_LOG} select {_FLAT} from log where aggregator_type = 'app/User'")
-def scan_type(spark, sf_dir):
-    return _rows(scan(_log(spark, sf_dir), [Read(USER)]))
-
-
-@query(f"{_LOG} select {_FLAT} from log where aggregator_id = '42'")
-def scan_id(spark, sf_dir):
-    return _rows(scan(_log(spark, sf_dir), [Read(USER, "42")]))
-
-
-@query(f"{_LOG} select {_FLAT} from log where name = 'purchase'")
-def scan_event(spark, sf_dir):
-    return _rows(scan(_log(spark, sf_dir), [Read(USER, name="purchase")]))
-
-
-@query(f"{_LOG} select {_FLAT} from log where aggregator_id = '7' and name = 'click'")
-def scan_id_event(spark, sf_dir):
-    return _rows(scan(_log(spark, sf_dir), [Read(USER, "7", "click")]))
-
-
-@query(f"{_LOG} select {_FLAT} from log where (aggregator_id = '7' and name = 'click') or name = 'signup' or aggregator_id = '9'")
-def scan_multi(spark, sf_dir):
-    """pred_and, pred_or, filter_union, distinct_ids: overlapping reads give a row once"""
-    return _rows(scan(_log(spark, sf_dir), [Read(USER, "7", "click"), Read(USER, name="signup"), Read(USER, "9"), Read(USER, "9", "signup")]))
-
-
 @query(f"{_LOG} select {_FLAT} from log where name = 'view' and timestamp_subsec = 7")
 def pred_eq(spark, sf_dir):
     return _rows(_log(spark, sf_dir).where((F.col("name") == "view") & (F.col("timestamp_subsec") == 7)))
@@ -168,11 +148,6 @@ def page_backward_desc(spark, sf_dir):
     return _page(spark, sf_dir, DESC, Args.backward(25, _AT))
 
 
-@query(f"{_LOG} select id, ((row_number() over (order by {_KEY}) - 1) // 250)::bigint as page_no from log")
-def page_walk(spark, sf_dir):
-    return pages(_log(spark, sf_dir), 250).select("id", "page_no")
-
-
 @query(
     """with probe as (
   select *, row_number() over (order by o_totalprice desc, o_orderkey) as r from orders
@@ -206,6 +181,20 @@ def cursor_encode(spark, sf_dir):
 # whole-log questions
 
 
+@query(f"{_LOG} select id, timestamp, timestamp_subsec, version, id as event_id from log")
+def cursor_decode(spark, sf_dir):
+    """Cursors back into their key values, in the JVM"""
+    decoded = _log(spark, sf_dir).select("id", scalars.cursor_values(scalars.cursor_column()).alias("at"))
+    return decoded.select("id", "at.timestamp", "at.timestamp_subsec", "at.version", F.col("at.id").alias("event_id"))
+
+
+@query(f"{_LOG} select id, aggregator_type || '_' || name as handler, coalesce(routing_key || '.', '') || 'orders' as subscriber from log")
+def subscriber_key(spark, sf_dir):
+    """subscriber_key, handler_key, agg_type_name as columns"""
+    kind = F.lit(type_name("app", "User"))
+    return _log(spark, sf_dir).select("id", scalars.handler_key(kind, "name").alias("handler"), scalars.subscriber_key_column("orders", "routing_key").alias("subscriber"))
+
+
 @query(f"{_LOG} select aggregator_id, bool_or(name = 'purchase') as has_event from log group by 1")
 def has_event(spark, sf_dir):
     return relations.has_event(_log(spark, sf_dir), "purchase").select("aggregator_id", "has_event")
@@ -266,7 +255,7 @@ def _balance():
 
 @query(f"{_LOG} select aggregator_id, sum({_BALANCE})::bigint as balance, count(*) as n_events from log group by 1")
 def fold_sum(spark, sf_dir):
-    return fold.algebraic(_amounts(spark, sf_dir), balance=fold.total(_balance()), n_events=F.count("*"))
+    return _by_id(fold.algebraic(_amounts(spark, sf_dir), balance=fold.total(_balance()), n_events=F.count("*")))
 
 
 @query(
@@ -276,7 +265,7 @@ from (select *, row_number() over (partition by aggregator_id order by {_KEY_DES
 )
 def fold_last(spark, sf_dir):
     events = _amounts(spark, sf_dir)
-    return fold.algebraic(events, last_name=fold.last(F.col("name")), last_purchase=fold.last(F.col("amount"), F.col("name") == "purchase"))
+    return _by_id(fold.algebraic(events, last_name=fold.last(F.col("name")), last_purchase=fold.last(F.col("amount"), F.col("name") == "purchase")))
 
 
 @query(
@@ -285,7 +274,7 @@ def fold_last(spark, sf_dir):
 )
 def fold_init(spark, sf_dir):
     opening = F.coalesce(fold.first(F.col("amount"), F.col("name") == "signup"), F.lit(0).cast("long"))
-    return fold.algebraic(_amounts(spark, sf_dir), opening=opening, daily_limit=F.lit(1000).cast("long"))
+    return _by_id(fold.algebraic(_amounts(spark, sf_dir), opening=opening, daily_limit=F.lit(1000).cast("long")))
 
 
 @query(
@@ -326,7 +315,7 @@ def _reset(state, event):
 @query(_RESET)
 def fold_reset_then_add(spark, sf_dir):
     zero = F.lit(0).cast("long")
-    return fold.ordered(_amounts(spark, sf_dir), {"balance": zero, "available": zero}, _reset, ("name", "amount"))
+    return _by_id(fold.ordered(_amounts(spark, sf_dir), {"balance": zero, "available": zero}, _reset, ("name", "amount")))
 
 
 def _reset_handler(state: dict, event: dict) -> None:
@@ -346,8 +335,8 @@ def _reset_handler(state: dict, event: dict) -> None:
 @query(_RESET)
 def fold_custom(spark, sf_dir):
     """fold by a Python handler"""
-    events = _amounts(spark, sf_dir).select("aggregator_id", *fold.EVENT_KEY, "name", "amount")
-    return fold.custom(events, _reset_handler, "balance long, available long")
+    events = _amounts(spark, sf_dir).select(*fold.BY, *fold.EVENT_KEY, "name", "amount")
+    return _by_id(fold.custom(events, _reset_handler, "balance long, available long"))
 
 
 @query(f"{_LOG} select id, (sum({_BALANCE}) over (partition by aggregator_id order by {_KEY} rows between unbounded preceding and current row))::bigint as balance from log")
@@ -393,11 +382,24 @@ def snapshot_cursor(spark, sf_dir):
 from orders join customer on c_custkey = o_custkey left join lineitem on l_orderkey = o_orderkey group by 1, 2"""
 )
 def multi_aggregate(spark, sf_dir):
-    """Order state from its own events and its owner's; lines are pre-aggregated before the joins"""
+    """Order state from its own events and those of its owner, an aggregate that it is linked to"""
     orders, customers, lines = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "lineitem"))
-    sums = lines.groupBy("l_orderkey").agg(F.count("*").alias("n_lines"), F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("total_cents"))
-    joined = orders.select("o_orderkey", "o_custkey").join(customers.select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey")).join(sums, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    return joined.select("o_orderkey", F.col("c_name").alias("owner_name"), F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"), "total_cents")
+
+    def events(rows: DataFrame, kind: str, name: str, id_: str, version, text, cents) -> DataFrame:
+        made = {"aggregator_type": F.lit(kind), "name": F.lit(name), "aggregator_id": F.col(id_).cast("string"), "version": version, "text": text, "cents": cents}
+        made |= {"timestamp": F.lit(0).cast("long"), "timestamp_subsec": F.lit(0), "id": F.concat(F.lit(name), F.col(id_).cast("string"))}
+        return rows.select(*[c.alias(n) for n, c in made.items()])
+
+    none, no_cents = F.lit(None).cast("string"), F.lit(None).cast("long")
+    roots = events(orders, "shop/Order", "Placed", "o_orderkey", F.lit(1), none, no_cents)
+    sold = F.round(F.col("l_extendedprice") * 100).cast("long")
+    roots = roots.unionByName(events(lines, "shop/Order", "LineAdded", "l_orderkey", (F.col("l_linenumber") + 1).cast("int"), none, sold))
+    owners = events(customers, "shop/Customer", "Named", "c_custkey", F.lit(1), F.col("c_name"), no_cents)
+    link = orders.select(F.col("o_orderkey").cast("string").alias("root_id"), F.col("o_custkey").cast("string").alias("linked_id"))
+    both = relations.linked(roots, owners, link)
+    line = F.col("name") == "LineAdded"
+    state = fold.algebraic(both, ("root_id",), owner_name=fold.last(F.col("text"), F.col("name") == "Named"), n_lines=F.count(F.when(line, 1)), total_cents=F.sum("cents"))
+    return state.select(F.col("root_id").cast("long").alias("o_orderkey"), "owner_name", "n_lines", "total_cents")
 
 
 @query(
@@ -468,7 +470,7 @@ from conversations c group by conv_id"""
 def conversation_fold(spark, sf_dir):
     events = adapters.conversation_events(spark, sf_dir)
     text = scalars.decode_payload("data", "text string")["text"]
-    return fold.algebraic(events, turns=F.count("*"), last_role=fold.last(F.col("name")), first_user_text=fold.first(text, F.col("name") == "user"))
+    return _by_id(fold.algebraic(events, turns=F.count("*"), last_role=fold.last(F.col("name")), first_user_text=fold.first(text, F.col("name") == "user")))
 
 
 # scalar functions

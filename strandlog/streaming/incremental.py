@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from strandlog.operators.fold import BY
 from strandlog.schema import EVENT_KEY
 
 
@@ -27,7 +28,7 @@ class FoldProcessor(StatefulProcessor):
         for event in pd.concat(list(rows)).sort_values(list(EVENT_KEY)).to_dict("records"):
             self.handle(now, event)
         self.state.update(tuple(now[n] for n in names))
-        yield pd.DataFrame([{"aggregator_id": key[0]} | now])
+        yield pd.DataFrame([dict(zip(BY, key, strict=True)) | now])
 
     def close(self) -> None:
         pass
@@ -39,5 +40,5 @@ def incremental_fold(events: DataFrame, handle: Callable[[dict, dict], None], st
     Equal to the batch fold if each aggregate's events arrive in their order over the batches.
     """
     schema = T.StructType.fromDDL(state) if isinstance(state, str) else state
-    out = T.StructType([T.StructField("aggregator_id", T.StringType()), *schema.fields])
-    return events.groupBy("aggregator_id").transformWithStateInPandas(FoldProcessor(handle, schema), out, "Update", "None")
+    out = T.StructType([*[T.StructField(n, T.StringType()) for n in BY], *schema.fields])
+    return events.groupBy(*BY).transformWithStateInPandas(FoldProcessor(handle, schema), out, "Update", "None")

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from strandlog.functions.scalars import hash_ids, subscriber_key, ulid
 from strandlog.operators.cursor import EVENTS
 from strandlog.operators.filters import Read, RoutingKey, scan
+from strandlog.plans.context import Context
 from strandlog.plans.projection import NoHandler
 from strandlog.schema import EventSpec
 from strandlog.sources.store import EventStore
@@ -59,12 +60,11 @@ class Subscription:
     ids: tuple[tuple[str, str], ...] = ()
     #: Drops late events: those not beyond the acknowledged cursor.
     strict_cursor: bool = False
-    #: Values that handlers get, by name, as one more argument.
-    shared: tuple[tuple[str, object], ...] = ()
+    context: Context = field(default_factory=Context)
 
-    def data(self, name: str, value: object) -> Subscription:
-        """Shares a value with the handlers, which then take a dict of all such values as their last argument."""
-        return replace(self, shared=(*(s for s in self.shared if s[0] != name), (name, value)))
+    def data(self, value: object) -> Subscription:
+        """Shares a value with the handlers, which then take the context as their last argument."""
+        return replace(self, context=self.context.having(value))
 
     def on(self, spec: EventSpec, fn: Callable, each: bool = False) -> Subscription:
         return self._with(Rule(spec.aggregator_type, spec.name, fn, each))
@@ -203,8 +203,7 @@ class Subscription:
 
     @property
     def _given(self) -> tuple:
-        """What handlers get besides the events: the shared data, if there is any."""
-        return (dict(self.shared),) if self.shared else ()
+        return (self.context,) if len(self.context) else ()
 
     def _query(self, worker: str, **trigger) -> StreamingQuery:
         if not self.rules:

@@ -1,6 +1,9 @@
 """The bank's scenarios from end to end."""
 
+from dataclasses import replace
+
 import pytest
+from pyspark.sql import functions as F
 
 from strandlog.examples import bank
 from strandlog.examples.bank import ACCOUNT, OWNER, Bank
@@ -190,6 +193,9 @@ def test_subscribe_all_and_frames(store):
     chunks = []
     Subscription(store, "chunks").chunk_size(1).on_all(ACCOUNT.aggregator_type, lambda df: chunks.append(df.count())).execute()
     assert chunks == [1, 1]
+    chunks.clear()
+    Subscription(store, "large").chunk_size(100).on_all(ACCOUNT.aggregator_type, lambda df: chunks.append(df.count())).execute()
+    assert chunks == [2]
 
 
 def test_failures(store):
@@ -250,7 +256,7 @@ def test_incremental_fold(spark, tmp_path):
     from strandlog.streaming.incremental import incremental_fold
 
     sf = "/root/testdata/sf0.001"
-    events = _amounts(spark, sf).select("aggregator_id", *fold.EVENT_KEY, "name", "amount")
+    events = _amounts(spark, sf).select(*fold.BY, *fold.EVENT_KEY, "name", "amount")
     cut = 1705276800
     for i, part in enumerate((events.where(events.timestamp < cut), events.where(events.timestamp >= cut))):
         part.coalesce(1).write.parquet(str(tmp_path / f"in/p{i}"))
@@ -282,3 +288,143 @@ def test_progress(store):
         assert any(r["commits"] == 1 for r in log.last.values()) and list(log.ended.values()) == [None]
     finally:
         log.detach(store.spark)
+
+
+def test_supervised(store, monkeypatch):
+    """An accepted failure doesn't end a running subscription: it starts again by itself, and stops when it is shut down."""
+    import time
+
+    from strandlog.streaming import subscription as module
+
+    monkeypatch.setattr(module, "WATCH", 0.1)
+    Bank(store).open_account("o", "n", initial_balance=1)
+    calls = []
+
+    def fails(event):
+        calls.append(event["id"])
+        if len(calls) < 3:
+            raise RuntimeError("not yet")
+
+    running = Subscription(store, "f").on(ACCOUNT.AccountOpened, fails, each=True).without_retry().accept_failure().start("100 milliseconds")
+    for _ in range(300):
+        if store.get_cursor("f"):
+            break
+        time.sleep(0.1)
+    assert len(calls) == 3 and store.get_cursor("f")
+    running.shutdown()
+    time.sleep(0.5)
+    assert not running.is_active and not running.supervise()
+
+
+def test_lag_without_the_log(store, monkeypatch):
+    """The lag comes from the batch and the commits after it; the whole log isn't read."""
+    b = Bank(store)
+    b.open_account("o", "n", initial_balance=1)
+    row = store.log().first().asDict(recursive=True)
+    s = Subscription(store, "lag").chunk_size(1).on(ACCOUNT.AccountOpened, lambda e: None, each=True)
+    lags = []
+    acknowledge = store.acknowledge
+    monkeypatch.setattr(store, "acknowledge", lambda *a, **k: lags.append(a[2]) or acknowledge(*a, **k))
+    for k, late in ((2, 50), (3, 20), (4, 70)):
+        store.write([row | {"id": f"{k}", "aggregator_id": f"x{k}", "timestamp": row["timestamp"] + late}])
+    monkeypatch.setattr(store, "log", lambda: pytest.fail("read the log"))
+    s.execute()
+    assert lags == [70, 20, 50, 0]
+
+
+def test_late_and_delayed(store):
+    """Late events are handled, unless the cursor is strict; a delay comes before all else."""
+    import time
+
+    b = Bank(store)
+    b.open_account("o", "n", initial_balance=1)
+    row = store.log().first().asDict(recursive=True)
+    seen = {"loose": [], "strict": []}
+    follow = lambda key: Subscription(store, key).on(ACCOUNT.AccountOpened, lambda e: seen[key].append(e["aggregator_id"]), each=True)
+    loose, strict = follow("loose"), replace(follow("strict"), strict_cursor=True)
+    loose.execute()
+    strict.execute()
+    store.write([row | {"id": "0", "aggregator_id": "late", "timestamp": row["timestamp"] - 100}])
+    begin = time.time()
+    loose.delay(0.3).execute()
+    assert time.time() - begin >= 0.3
+    strict.execute()
+    assert seen["loose"][1:] == ["late"] and len(seen["strict"]) == 1
+
+
+def test_shared_data(store):
+    from strandlog.plans.context import Context
+
+    class Fee(int):
+        pass
+
+    a = Bank(store).open_account("o", "n", initial_balance=10)
+    view = Projection(ACCOUNT.aggregator_type, "n long", {"n": 0}).data(Fee(3)).handler(ACCOUNT.AccountOpened, lambda s, e, context: s.update(n=e["data"]["initial_balance"] - context[Fee]))
+    assert view.load(store, a).n == 7 and view.execute(store).first()["n"] == 7
+    got = []
+    Subscription(store, "d").data(Fee(5)).on(ACCOUNT.AccountOpened, lambda e, context: got.append(context[Fee]), each=True).execute()
+    assert got == [5]
+    context = Context(1, "a").having(2)
+    assert (context.get(int), context[str], context.get(float), int in context, len(context.without(int))) == (2, "a", None, True, 1)
+    with pytest.raises(KeyError):
+        context[float]
+
+
+def test_snapshot_kinds(store):
+    """In the store, in memory, in a way of one's own, or none."""
+    from strandlog.plans.projection import MemorySnapshots, Snapshots
+
+    b, handled = Bank(store), []
+    a = b.open_account("o", "n", initial_balance=1)
+
+    def view(**kind):
+        def count(state, event):
+            handled.append(event["version"])
+            state["n"] += 1
+
+        return Projection(ACCOUNT.aggregator_type, "n long", {"n": 0}, **kind).handler(ACCOUNT.AccountOpened, count).handler(ACCOUNT.MoneyDeposited, count)
+
+    class Once(Snapshots):
+        def restore(self, projection, store, aggregator_id):
+            return {"n": 40}, 1, self.cursor
+
+    once, memory = Once(), view(snapshots=MemorySnapshots())
+    once.cursor = memory.load(store, a).cursor
+    b.deposit(a, 1)
+    handled.clear()
+    assert memory.load(store, a).n == 2 and handled == [2] and memory.load(store, a).version == 2 and handled == [2]
+    assert view(snapshots=once).load(store, a).n == 41
+    handled.clear()
+    assert view().load(store, a).n == 2 and view().load(store, a).n == 2 and handled == [1, 2, 1, 2]
+    assert store.snapshots().count() == 0
+
+
+def test_columns_projection(store):
+    """A projection by columns gives what the handlers give, without Python in its plan, and takes related aggregates too."""
+    from strandlog.functions.scalars import decode_payload
+    from strandlog.operators import fold
+
+    b = Bank(store)
+    owner = store.create().event(OWNER.Created, name="Ann").commit()
+    a = b.open_account(owner, "Ann", initial_balance=100)
+    b.deposit(a, 5)
+    store.aggregate(owner).original_version(1).event(OWNER.NameChanged, value="Bea").commit()
+    data = lambda field, kind: decode_payload("data", f"{field} {kind}")[field]
+    opened, paid, renamed = (F.col("name") == s.name for s in (ACCOUNT.AccountOpened, ACCOUNT.MoneyDeposited, OWNER.NameChanged))
+    view = Projection(ACCOUNT.aggregator_type, "balance long, owner_name string, note string", {"note": "none"})
+    view = view.columns(ACCOUNT.AccountOpened, ACCOUNT.MoneyDeposited, OWNER.NameChanged, balance=fold.total(data("initial_balance", "long"), opened) + fold.total(data("amount", "long"), paid), owner_name=fold.last(data("value", "string"), renamed))
+    view = view.aggregator(OWNER.aggregator_type, owner)
+    loaded = view.load(store, a)
+    assert (loaded.balance, loaded.owner_name, loaded.note, loaded.version) == (105, "Bea", "none", 2)
+    assert Projection(ACCOUNT.aggregator_type, "n long").columns(ACCOUNT.AccountOpened, n=F.count("*")).load(store, "none") is None
+    links = store.spark.createDataFrame([(a, owner)], "root_id string, linked_id string")
+    frame = view.execute(store, links={OWNER.aggregator_type: links})
+    assert frame.first()["cursor"] == loaded.cursor and "Python" not in frame._jdf.queryExecution().toString()
+    with pytest.raises(ValueError):
+        view.handler(ACCOUNT.AccountFrozen, lambda s, e: None)
+    with pytest.raises(ValueError):
+        view.columns(other=F.lit(1))
+    b.freeze(a)
+    assert view.load(store, a).version == 2  # events that no column reads don't count, as with handlers
+    with pytest.raises(Exception, match="no handler"):
+        view.safety_check().load(store, a)

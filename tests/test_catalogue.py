@@ -73,3 +73,27 @@ def test_snapshot_and_tail(spark, cut):
     both = snapshots.join(tail, list(fold.BY), "full").select("aggregator_id", (F.coalesce("held", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("total"))
     want = events.groupBy("aggregator_id").agg(F.sum("amount").alias("total"))
     assert sorted(map(tuple, both.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("name, pushed", [("scan_id", "EqualTo(aggregator_id,42)"), ("scan_event", "EqualTo(name,purchase)"), ("scan_id_event", "EqualTo(aggregator_id,7)"), ("scan_multi", "Or(")])
+def test_scans_are_pushed_down(spark, name, pushed):
+    """The registered scans prune partitions and push their filters into the scan of the stored log; nothing is shuffled."""
+    was = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    try:
+        plan = stored.QUERIES[name](spark, SF)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", was)
+    assert "PartitionFilters: [" in plan and "aggregator_type" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert pushed in plan.split("PushedFilters: [")[1] and "Exchange" not in plan
+    typed = stored.QUERIES["scan_type"](spark, SF)._jdf.queryExecution().toString()
+    assert "app/User" in typed.split("PartitionFilters: [")[1]
+
+
+def test_folds_keep_types_apart(spark):
+    """Aggregates of two types with one id are two states."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([[f"e{i}", t, "x", 1, "n", None, None, None, 10 + i, 0] for i, t in enumerate(("a", "b"))], EVENT)
+    assert sorted(tuple(r) for r in fold.algebraic(df, n=F.count("*")).collect()) == [("a", "x", 1), ("b", "x", 1)]
+    assert fold.custom(df, lambda s, e: s.update(n=1), "n long").count() == 2

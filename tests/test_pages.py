@@ -119,3 +119,20 @@ def test_mixed_directions(spark):
     spec = CursorSpec(("-a", "b"))
     got = [(r["a"], r["b"]) for p in walk(df, 5, ASC, spec) for r in p.rows]
     assert got == sorted(((i % 3, i) for i in range(12)), key=lambda r: (-r[0], r[1]))
+
+
+def test_pages_of_any_key(spark):
+    """Ranges are of the full key: one value of the first part, and text, are dealt over many tasks all the same."""
+    df = spark.range(5000).selectExpr("'same' as a", "lpad(cast(id * 7919 % 5000 as string), 6, '0') as b").repartition(3)
+    spec = CursorSpec(("a", "-b"))
+    got = pages(df, 300, ASC, spec)
+    want = {b: n // 300 for n, b in enumerate(sorted((r["b"] for r in df.collect()), reverse=True))}
+    assert {r["b"]: r["page_no"] for r in got.collect()} == want
+    assert pages(df.limit(0), 3, ASC, spec).count() == 0
+
+
+def test_cursor_values(spark):
+    df = spark.createDataFrame([event(*g) for g in GOLDEN], EVENT).select("id", scalars.cursor_column().alias("cursor"))
+    assert all(r["v"]["id"] == r["id"] and list(r["v"]) == scalars.cursor_decode(r["cursor"]) for r in df.select("id", "cursor", scalars.cursor_values(df["cursor"]).alias("v")).collect())
+    odd = spark.createDataFrame([(None,), (scalars.cursor_encode([1]),), ("",)], "c string")
+    assert [r["v"] for r in odd.select(scalars.cursor_values(odd["c"]).alias("v")).collect()] == [None] * 3

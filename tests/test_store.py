@@ -4,6 +4,7 @@ import json
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandlog.functions import scalars
 from strandlog.operators.cursor import Args
@@ -204,3 +205,127 @@ def test_jdbc(spark, tmp_path):
     assert [(r["version"], r["metadata"]["meta"]) for r in rows] == [(2, {"requested_by": "me"})]
     assert other.read(args=Args.forward(1)).info.has_next_page
     assert other.scan(None, RoutingKey.value("eu")).count() == 2 and other.scan(None, RoutingKey.value(None)).count() == 0
+
+
+def test_written_state(store, monkeypatch):
+    """A reader takes the last written state and reads only the manifests after it."""
+    from strandlog.sources import store as module
+
+    monkeypatch.setattr(module, "CHECKPOINT", 3)
+    ids = [store.create().event(THING.Made, n=n).commit() for n in range(8)]
+    assert store.files.names("state") == ["2".zfill(20) + ".json", "5".zfill(20) + ".json"]
+    read, other = [], EventStore(store.spark, store.root)
+    monkeypatch.setattr(other.files, "read", lambda name, whole=other.files.read: read.append(name) or whole(name))
+    assert sorted(r["aggregator_id"] for r in other.log().collect()) == sorted(ids)
+    assert read == ["state/" + "5".zfill(20) + ".json", *(f"log/{str(n).zfill(20)}.json" for n in (6, 7))]
+
+
+@pytest.mark.parametrize("scheme", ["", "file:"])
+def test_values(spark, tmp_path, scheme):
+    """No change of a small value is lost, and a reader always finds one; on local paths and through Hadoop."""
+    from strandlog.sources.files import Files
+
+    files, root = Files(spark, f"{scheme}{tmp_path}/v"), f"{scheme}{tmp_path}/v"
+    assert files.value("n") == (-1, None) and files.update("n", lambda old: None) is None
+    missing, done = [], []
+
+    def add():
+        own = Files(spark, root)
+        for _ in range(10):
+            own.update("n", lambda old: str(int(old or 0) + 1))
+
+    def look():
+        own = Files(spark, root)
+        while not done:
+            if own.value("n")[1] is None and files.value("n")[0] > 0:
+                missing.append(1)
+
+    files.update("n", lambda old: "0")
+    threads, reader = [threading.Thread(target=add) for _ in range(3)], threading.Thread(target=look)
+    [t.start() for t in (*threads, reader)]
+    [t.join() for t in threads]
+    done.append(1)
+    reader.join()
+    assert files.value("n")[1] == "30" and not missing and len(files.names("n")) <= 3
+
+
+def test_concurrent_snapshots(store, monkeypatch):
+    """Saves at one time are all kept, also while the folders are merged; one save writes its own rows only."""
+    from strandlog.sources import store as module
+
+    monkeypatch.setattr(module, "SNAPSHOT_FOLDERS", 3)
+    schema = "aggregator_type string, aggregator_id string, revision string, cursor string, data string"
+    save = lambda i: EventStore(store.spark, store.root).save_snapshots(store.spark.createDataFrame([("t", f"a{i % 5}", "1", f"c{i}", f"d{i}")], schema))
+    threads = [threading.Thread(target=save, args=(i,)) for i in range(8)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    save(9)
+    assert sorted(r["aggregator_id"] for r in store.snapshots().collect()) == [f"a{i}" for i in range(5)]
+    assert store.get_snapshot("t", "1", "a4") == ("d9", "c9")
+    store.merge_snapshots()
+    assert store.get_snapshot("t", "1", "a4") == ("d9", "c9") and len(store._snapshot_folders()[1]) == 1
+    row = next(r for r in store.snapshots().collect() if r["aggregator_id"] == "a4")
+    assert row["updated_at"] >= row["created_at"]
+
+
+def test_vacuum_and_replay(store):
+    """Folders that are merged or were never published go; a subscription from the start still gets each commit."""
+    from strandlog.streaming.subscription import Subscription
+
+    a = store.create().event(THING.Made, n=1).commit()
+    store.aggregate(a).original_version(1).event(THING.Changed, n=2).commit()
+    orphan = store._save(store.log())
+    store.compact()
+    store.aggregate(a).original_version(2).event(THING.Changed, n=3).commit()
+    assert store.vacuum() == []  # too young
+    gone = store.vacuum(grace=0)
+    assert len(gone) == 3 and f"data/{orphan}" in gone and len(store.files.names("data")) == 2
+    store.compact()
+    store.vacuum(grace=0)
+    assert store.log().count() == 3 and len(store.files.names("data")) == 1
+    seen = []
+    Subscription(store, "s").chunk_size(1).on_all("t/Thing", lambda df: seen.append([r["version"] for r in df.collect()])).execute()
+    assert seen == [[1], [2], [3]]
+
+
+def test_schema_steps(store):
+    """Folders of an earlier schema version are brought up to date on reading; those of an unknown one are refused."""
+    from strandlog import schema
+
+    store.create().event(THING.Made, n=1).commit()
+    old = schema.upgrade(store.log(), schema.SCHEMA_VERSION, 1)
+    assert old.first()["timestamp_subsec"] is None
+    assert schema.upgrade(old, 1).first()["timestamp_subsec"] == 0
+    folder = "commit=old"
+    old.withColumn("aggregator_id", F.lit("old")).withColumn("origin", F.lit(folder)).write.partitionBy("aggregator_type").parquet(f"{store.root}/data/{folder}")
+    store.files.create("log/" + "1".zfill(20) + ".json", json.dumps({"number": 1, "schema_version": 1, "adds": [folder], "replaces": [], "rewrite": False}))
+    assert sorted((r["aggregator_id"] == "old", r["timestamp_subsec"] is not None) for r in store.log().collect()) == [(False, True), (True, True)]
+    store.compact()
+    assert store.log().count() == 2 and set(store._state()["folders"].values()) == {schema.SCHEMA_VERSION}
+    with pytest.raises(schema.SchemaVersionError):
+        schema.upgrade(old, 99)
+
+
+def test_strict_commit(store):
+    a = store.create().event(THING.Made, n=1).commit(strict=True)
+    with pytest.raises(InvalidOriginalVersion):
+        store.aggregate(a).original_version(5).event(THING.Changed, n=2).commit(strict=True)
+    store.aggregate(a).original_version(5).event(THING.Changed, n=2).commit()
+    assert sorted(r["version"] for r in store.log().collect()) == [1, 6]
+
+
+def test_no_temporary_folder_on_a_cluster(spark, monkeypatch):
+    from strandlog.sources import shared
+
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:
+            get = staticmethod(lambda name, other=None: other)
+
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(Cluster)
+    path = shared.scratch(spark, "x")
+    assert spark.sparkContext.applicationId in path and path != shared.scratch(spark, "x")
