@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,31 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlog.deploy import ship
+from strandlog.sources.shared import cut, scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    sc = spark.sparkContext
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known is None:
-        known = sc.getCheckpointDir()
-    if known is None:
-        known = "file://" + tempfile.mkdtemp(prefix="strandlog-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(known)
-    return known
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint; the files survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def held_out(doc_id: Column) -> Column:
     """True for the rows that no model may learn from: crc32(doc_id as text) mod 4 is 2. A null id counts as learnable."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -111,3 +92,6 @@ def append(df: DataFrame, make: Callable[[], Callable[[dict], dict]], inputs: di
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *outputs])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, *extra.fields]))
+
+
+__all__ = ["append", "cut", "free_name", "held_out", "map_rows", "scratch", "slices", "table"]

@@ -13,7 +13,6 @@ from __future__ import annotations
 import bisect
 import re
 import struct
-import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlog.llm.byte_bpe import _LETTER, _NUMBER, _SPACE, Memo
-from strandlog.llm.common import map_rows, shared_dir, slices, table
+from strandlog.llm.common import map_rows, scratch, slices, table
 
 MAGIC = b"DAC1"
 #: Bits for each entry of a rank directory.
@@ -304,7 +303,7 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null texts have only the end id; repeated rows and null ids each give a row; an empty table gives none."""
     import public_tokenizers
 
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = scratch(spark, "tokens")
     write(tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), path)
     return read(spark, path, ids_crc32=F.crc32("ids"))
 
