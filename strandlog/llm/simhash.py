@@ -4,6 +4,9 @@ A fingerprint is cut into two segments, so of at most three differing bits one s
 with each of its bits as a wildcard: two fingerprints that differ by at most one bit there share such a variant. Equal
 variants are joined and the pairs verified. A variant that holds many fingerprints is never paired at once: they are cut
 again by the rest of their bits (again two segments, one wildcard), down to 11 free bits, 2,048 fingerprints at most.
+
+`near_duplicates` links fingerprints of three-word shingles as such. `similar` uses the same search to propose pairs, by
+fingerprints of distinct words, which near copies hardly change, and confirms them by the similarity of their shingles.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import cut, map_rows, table
+from strandlog.llm.common import cut, map_rows, scratch, table
 from strandlog.llm.graph import components
 
 #: Differing bits that still link.
@@ -23,6 +26,8 @@ SEED = 42
 #: Larger groups of one variant are cut again instead of paired.
 PAIRED = 128
 _STEP = 1 << 16
+#: `similar`: words in a shingle, independent fingerprints (more find more pairs), and the similarity that links, 4/5.
+NEAR_SHINGLE, PRINTS, SIMILAR = 5, 3, (4, 5)
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -127,13 +132,97 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def features(text: str | None, size: int = NEAR_SHINGLE, prints: int = PRINTS) -> tuple[int, list[int], list[int]]:
+    """(key, fps, shingles) of a text: a hash of its words in order, `prints` independent fingerprints of its distinct
+    words, and the 32-bit hashes of its distinct shingles of `size` words (fewer words: the whole sequence; none: no shingle).
+    """
+    words = text.encode().lower().split() if text else []
+    line = b" ".join(words)
+    key = int.from_bytes(xxhash.xxh3_64_digest(line), "big", signed=True)
+    if not words:
+        return key, [0] * prints, []
+    distinct, counts = list(set(words)), np.zeros(64 * prints, np.int64)
+    for at in range(0, len(distinct), _STEP):
+        rows = [b"".join([xxhash.xxh64_digest(w, SEED + k) for k in range(prints)]) for w in distinct[at : at + _STEP]]
+        bits = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+        counts += np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int64)
+    fps = np.packbits(counts * 2 > len(distinct)).view(">i8").tolist()
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate([[0], ends])[: max(1, len(words) - size + 1)].tolist()
+    stops = (ends[min(size, len(words)) - 1 :] - 1).tolist()
+    digest = xxhash.xxh32_intdigest
+    shingles = np.unique(np.array([digest(line[s:e], SEED) for s, e in zip(starts, stops, strict=True)], np.uint32).view(np.int32))
+    return key, fps, shingles.tolist()
+
+
+def _candidates(texts: DataFrame) -> DataFrame:
+    """a < b: keys of different texts of which some fingerprint differs in at most BITS bits, each pair once."""
+    found = None
+    for k in range(PRINTS):
+        nodes = texts.select("key", F.col("fps")[k].alias("fp"))
+        close = links(nodes.select("fp").distinct())
+        left, right = nodes.select(F.col("fp").alias("a"), F.col("key").alias("x")), nodes.select(F.col("fp").alias("b"), F.col("key").alias("y"))
+        same = left.join(right, F.col("a") == F.col("b")).where(F.col("x") < F.col("y")).select("x", "y")
+        pairs = same.unionByName(close.join(left, "a").join(right, "b").select("x", "y"))
+        found = pairs if found is None else found.unionByName(pairs)
+    return cut(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose sets of shingles have a Jaccard similarity of at least SIMILAR."""
+    x, y = (texts.select(F.col("key").alias(n), F.col("shingles").alias(f"of_{n}")) for n in "ab")
+    sizes, common = F.size("of_a") + F.size("of_b"), F.size(F.array_intersect("of_a", "of_b"))
+    alike = (common > 0) & (SIMILAR[1] * common >= SIMILAR[0] * (sizes - common))
+    return cut(pairs.join(x, "a").join(y, "b").where(alike).select("a", "b"))
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id (smallest doc_id reachable): texts link if one of their PRINTS fingerprints of distinct words differs
+    in at most BITS bits and their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    Texts of the same words in the same order are one text, however many copies there are; texts without a word are
+    one text too and link to no other. Each text's pair with its smallest partner is confirmed first, then those pairs that
+    join what isn't yet in one component, so the sets of shingles that move don't grow with the square of a group.
+    Null ids, repeated rows, empty tables and other columns as in `near_duplicates`.
+    """
+    spark, path = docs.sparkSession, scratch(docs.sparkSession, "similar")
+
+    def make():
+        def step(cols):
+            got = [features(t) for t in cols["text"]]
+            return {"doc_id": cols["doc_id"], "key": [g[0] for g in got], "fps": [g[1] for g in got], "shingles": [g[2] for g in got]}
+
+        return step
+
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    map_rows(rows, make, "doc_id long, key long, fps array<long>, shingles array<int>").write.parquet(f"{path}/rows")
+    marked = spark.read.parquet(f"{path}/rows")
+    # one row per text: its smallest id, and the fingerprints and shingles, which its copies share
+    marked.groupBy("key").agg(F.min("doc_id").alias("first"), F.any_value("fps").alias("fps")).write.parquet(f"{path}/texts")
+    texts = spark.read.parquet(f"{path}/texts")
+    pairs = _candidates(texts)
+    some = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = cut(marked.join(some, "key", "left_semi").groupBy("key").agg(F.any_value("shingles").alias("shingles")))
+    near = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    linked = _confirmed(near, sets)
+    label = components(linked)
+    la, lb = (label.select(F.col("node").alias(n), F.col("label").alias(f"of_{n}")) for n in "ab")
+    open_ = pairs.join(near, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left")
+    apart = ~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False))
+    label = components(linked.unionByName(_confirmed(open_.where(apart).select("a", "b"), sets)))
+    texts = texts.join(label, texts["key"] == label["node"], "left").select("key", "first", F.coalesce("label", "key").alias("label"))
+    least = texts.groupBy("label").agg(F.min("first").alias("component_id"))
+    classes = texts.join(least, "label").select("key", "component_id")
+    return marked.select("doc_id", "key").join(classes, "key").select("doc_id", "component_id")
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose doc_id is the smallest of its group of near-duplicates.
+    """The rows of docs, all columns as they are, whose doc_id is the smallest of its group of `similar` texts.
 
     Rows that repeat a kept doc_id are the same document and stay. Rows with a null id can't be told apart: they stay if
     one of them belongs to a group without an id, else all go with the group's first document.
     """
-    stay = near_duplicates(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
+    stay = similar(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(stay, docs[id_col].cast("long").eqNullSafe(stay["_kept_id"]), "left_semi")
 
 
