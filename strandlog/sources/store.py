@@ -222,7 +222,7 @@ class EventStore(Store):
         new = state["folders"]
         while True:
             # every check but the first only looks at the commits since
-            self._check(saved, self.folders(state["folders"] if strict else new), strict)
+            check_versions(saved, self.folders(state["folders"] if strict else new), strict)
             try:
                 self._publish(state["number"] + 1, [folder], [], False)
                 return state["number"] + 1
@@ -232,21 +232,6 @@ class EventStore(Store):
                 for m in since:
                     _apply(state, m)
 
-    def _check(self, batch: DataFrame, log: DataFrame, strict: bool) -> None:
-        types = [r[0] for r in batch.select("aggregator_type").distinct().collect()]
-        log = log.where(F.col("aggregator_type").isin(types))  # reads those partitions only
-        ids = [r[0] for r in batch.select("aggregator_id").distinct().limit(FEW + 1).collect()]
-        if len(ids) <= FEW:  # row groups are sorted by aggregate, so a small commit reads few of them
-            log = log.where(F.col("aggregator_id").isin(ids))
-        if batch.join(log.select(*IDENTITY), list(IDENTITY), "left_semi").head(1):
-            raise InvalidOriginalVersion("the log has an aggregate's version")
-        if strict:
-            last = log.groupBy(*IDENTITY[:2]).agg(F.max("version").alias("last"))
-            sums = batch.groupBy(*IDENTITY[:2]).agg(F.min("version").alias("low"), F.max("version").alias("high"), F.count("*").alias("n"))
-            follows = (F.col("low") == F.coalesce("last", F.lit(0)) + 1) & (F.col("high") == F.col("low") + F.col("n") - 1)
-            if sums.join(last, list(IDENTITY[:2]), "left").where(~follows).head(1):
-                raise InvalidOriginalVersion("versions don't follow the last one")
-
     def conflicts(self, batch: DataFrame) -> DataFrame:
         return conflicts(batch, self.log())
 
@@ -360,6 +345,23 @@ def _apply(state: dict, manifest: dict) -> None:
     state["number"] = manifest["number"]
 
 
+def check_versions(batch: DataFrame, log: DataFrame, strict: bool) -> None:
+    """Raises InvalidOriginalVersion if the log has an identity of the batch or, with `strict`, if versions don't follow its last ones."""
+    types = [r[0] for r in batch.select("aggregator_type").distinct().collect()]
+    log = log.where(F.col("aggregator_type").isin(types))  # reads those partitions only
+    ids = [r[0] for r in batch.select("aggregator_id").distinct().limit(FEW + 1).collect()]
+    if len(ids) <= FEW:  # row groups are sorted by aggregate, so a small commit reads few of them
+        log = log.where(F.col("aggregator_id").isin(ids))
+    if batch.join(log.select(*IDENTITY), list(IDENTITY), "left_semi").head(1):
+        raise InvalidOriginalVersion("the log has an aggregate's version")
+    if strict:
+        last = log.groupBy(*IDENTITY[:2]).agg(F.max("version").alias("last"))
+        sums = batch.groupBy(*IDENTITY[:2]).agg(F.min("version").alias("low"), F.max("version").alias("high"), F.count("*").alias("n"))
+        follows = (F.col("low") == F.coalesce("last", F.lit(0)) + 1) & (F.col("high") == F.col("low") + F.col("n") - 1)
+        if sums.join(last, list(IDENTITY[:2]), "left").where(~follows).head(1):
+            raise InvalidOriginalVersion("versions don't follow the last one")
+
+
 class GroupStore(Store):
     """Several stores read as one; duplicates stay, and pages are cut from the whole. Writes go to the first."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandlog.functions import scalars
 from strandlog.operators.cursor import Args
 from strandlog.operators.filters import Read, RoutingKey
-from strandlog.schema import Aggregate
+from strandlog.schema import EVENT_COLUMNS, Aggregate
 from strandlog.sources.store import EventStore, FrameStore, GroupStore, InvalidOriginalVersion, MissingData, ReadWriteStore, WriteError
 
 THING = Aggregate("t/Thing", Made="n long", Changed="n long")
@@ -207,6 +207,58 @@ def test_jdbc(spark, tmp_path):
     assert other.scan(None, RoutingKey.value("eu")).count() == 2 and other.scan(None, RoutingKey.value(None)).count() == 0
 
 
+def test_database(spark):
+    """Writes, races for a version, snapshots and control rows in a relational database."""
+    from strandlog.sources.database import JdbcStore
+
+    store = JdbcStore(spark, "jdbc:derby:memory:writable;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver", prefix="s_")
+    store.create_tables()
+    store.create_tables()
+    a = store.create().routing_key("eu").requested_by("me").event(THING.Made, n=1).event(THING.Changed, n=2).commit()
+    store.aggregate(a).original_version(2).routing_key("us").event(THING.Changed, n=3).commit(strict=True)
+    rows = store.read([Read("t/Thing", a)]).rows
+    assert [(r["version"], r["routing_key"], json.loads(r["data"])["n"]) for r in rows] == [(1, "eu", 1), (2, "eu", 2), (3, "eu", 3)]
+    assert rows[0]["metadata"]["meta"] == {"requested_by": "me"} and store.has_event(THING.Made, a)
+    for base, strict in ((0, False), (2, False), (1, True), (7, True)):
+        with pytest.raises(InvalidOriginalVersion):
+            store.aggregate(a).original_version(base).event(THING.Changed, n=9).event(THING.Changed, n=9).commit(strict)
+    with pytest.raises(MissingData):
+        store.write([])
+    # many events at once, through a table of their own; a batch that conflicts leaves nothing behind
+    many = store.log().where("version = 1").crossJoin(spark.range(50).withColumnRenamed("id", "k")).select(
+        *[F.concat("id", F.lit("-"), "k").alias(c) if c in ("id", "aggregator_id") else F.col(c) for c in EVENT_COLUMNS]
+    )
+    assert store.write(many) == 50 and store.log().count() == 53
+    again = many.withColumn("id", F.concat("id", F.lit("+"))).withColumn("version", F.when(F.col("aggregator_id").endswith("-7"), 1).otherwise(5))
+    assert store.conflicts(again).count() == 1
+    with pytest.raises(InvalidOriginalVersion):
+        store.write(again)
+    with pytest.raises(InvalidOriginalVersion):
+        store.write(again.withColumn("version", F.lit(5)), strict=True)
+    with pytest.raises(MissingData):
+        store.write(many.limit(0))
+    assert store.log().count() == 53
+    with store._transaction() as connection:
+        tables = connection.getMetaData().getTables(None, None, "%STAGE%", None)
+        assert not tables.next()
+    kind = "aggregator_type string, aggregator_id string, revision string, cursor string, data string"
+    store.save_snapshots(spark.createDataFrame([("t", "x", "r", "c1", "d1"), ("t", "y", "r", "c1", "d1")], kind))
+    store.save_snapshots(spark.createDataFrame([("t", "x", "r", "c2", "d" * 50_000), ("t", "x", "q", "c3", "d3")], kind))
+    assert store.get_snapshot("t", "r", "x") == ("d" * 50_000, "c2") and store.get_snapshot("t", "r", "y") == ("d1", "c1")
+    times = {(r["aggregator_id"], r["revision"]): r["updated_at"] is not None and r["updated_at"] >= r["created_at"] for r in store.snapshots().collect()}
+    assert times == {("x", "r"): True, ("y", "r"): False, ("x", "q"): False} and store.get_snapshot("t", "r", "z") is None
+    store.acknowledge("s", "nowhere", 1)
+    assert store.get_cursor("s") is None and not store.is_running("s", "w1")
+    store.upsert_subscriber("s", "w1")
+    store.acknowledge("s", "here", 3, 20)
+    store.acknowledge("s", "there", 2, 10)
+    store.upsert_subscriber("s", "w2")
+    assert store.subscriber("s") == {"key": "s", "worker_id": "w2", "cursor": "there", "lag_seconds": 2, "newest": 20, "enabled": True}
+    assert store.is_running("s", "w2") and not store.is_running("s", "w1")
+    store.enable("s", False)
+    assert not store.is_running("s", "w2")
+
+
 def test_written_state(store, monkeypatch):
     """A reader takes the last written state and reads only the manifests after it."""
     from strandlog.sources import store as module
