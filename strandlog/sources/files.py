@@ -9,15 +9,23 @@ import uuid
 from collections.abc import Callable
 from contextlib import suppress
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
+#: How paths of the local file system start.
+LOCAL = ("/", "file:/")
+#: Seconds for which an older version of a value stays, so that its number can't be taken again by a writer that read it.
+KEPT = 60.0
+
+
 class Files:
     """Small files under one root. `create` is exclusive: of two writers of one name, one gets FileExistsError."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.root = root.rstrip("/")
-        self.local = self.root.removeprefix("file://") if self.root.startswith(("/", "file:///")) else None
+        # Hadoop's rename overwrites on local paths, so these are used directly
+        self.local = "/" + self.root.removeprefix("file:").lstrip("/") if self.root.startswith(LOCAL) else None
         if self.local is None:
             self._jvm = spark.sparkContext._jvm
             self._path = self._jvm.org.apache.hadoop.fs.Path
@@ -101,7 +109,12 @@ class Files:
                 return time.time() - os.stat(f"{self.local}/{name}").st_mtime
             return 0.0
         at = self._path(f"{self.root}/{name}")
-        return time.time() - self._fs.getFileStatus(at).getModificationTime() / 1000 if self._fs.exists(at) else 0.0
+        try:
+            return time.time() - self._fs.getFileStatus(at).getModificationTime() / 1000
+        except Py4JJavaError:
+            if self._fs.exists(at):
+                raise
+            return 0.0
 
     # small values that change: a folder of numbered files, the highest of which holds the value
 
@@ -119,15 +132,18 @@ class Files:
         """Sets the value to change(old value) and returns it, or the old one where that is None. Versions are created exclusively:
         no change is lost, and a reader always finds a whole version."""
         while True:
+            started = time.monotonic()
             number, old = self.value(name)
             new = change(old)
             if new is None:
                 return old
+            if time.monotonic() - started > KEPT / 2:  # the next number may have been taken and removed since
+                continue
             try:
                 self.create(f"{name}/{number + 1:020d}", new)
             except FileExistsError:
                 continue
             for n in self.names(name):
-                if int(n) < number:
+                if int(n) < number and self.age(f"{name}/{n}") > KEPT:
                     self.delete(f"{name}/{n}")
             return new
