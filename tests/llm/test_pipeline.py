@@ -68,27 +68,37 @@ def plain_language(rows, model, least):
     return kept
 
 
-def plain_fingerprint(text):
+def plain_features(text):
+    """The words' sequence, the fingerprints of the distinct words and the set of five-word shingles, bit by bit."""
     words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
-    shingles = [words[i : i + 3] for i in range(max(1, len(words) - 2))] if words else []
-    hashes = [xxhash.xxh64(b" ".join(s), seed=42).intdigest() for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    prints = []
+    for seed in (42, 43):
+        hashes = [xxhash.xxh64(w, seed=seed).intdigest() for w in set(words)]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    return words, prints, {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
 def plain_near(rows):
-    """All pairs, then the smallest id of each group; rows without an id stay if their group has a row without one only."""
-    prints = [plain_fingerprint(r[1]) for r in rows]
-    group = list(range(len(rows)))
-    for _ in rows:
-        for i in range(len(rows)):
-            for j in range(len(rows)):
-                if (prints[i] ^ prints[j]).bit_count() <= 3:
-                    group[i] = group[j] = min(group[i], group[j])
+    """All pairs, then the smallest id of each group; rows without an id all stay if some group has none, else all go."""
+    made = [plain_features(r[1]) for r in rows]
+    group, pairs = list(range(len(rows))), []
+    halves = lambda x: ((x >> 32).bit_count(), (x & 0xFFFFFFFF).bit_count())
+    for i, (words, prints, shingles) in enumerate(made):
+        for j, (others, theirs, set_) in enumerate(made[:i]):
+            close = any(min(halves(p ^ q)) <= 1 for p, q in zip(prints, theirs, strict=True))
+            if words == others or close and shingles & set_ and 5 * len(shingles & set_) >= 4 * len(shingles | set_):
+                pairs.append((i, j))
+    was = None
+    while was != group:
+        was = list(group)
+        for i, j in pairs:
+            group[i] = group[j] = min(group[i], group[j])
     first = {}
     for row, g in zip(rows, group, strict=True):
         if row[0] is not None:
             first[g] = min(first.get(g, row[0]), row[0])
-    return [r for r, g in zip(rows, group, strict=True) if r[0] == first.get(g)]
+    kept = {r[0] for r, g in zip(rows, group, strict=True) if r[0] == first.get(g)}
+    return [r for r in rows if r[0] in kept]
 
 
 def plain_clean(rows, items):

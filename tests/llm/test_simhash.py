@@ -94,3 +94,28 @@ def test_whole(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(rows)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("star", [2, 64])
+def test_keep_first(spark, monkeypatch, star):
+    """Near copies go, texts below the similarity and reordered words stay; null ids, repeated rows, no rows, clashing names."""
+    from tests.llm.test_pipeline import plain_near
+
+    monkeypatch.setattr(simhash._similar_texts, "__defaults__", (star,))
+    rng = random.Random(5)
+    words = ["w%d" % i for i in range(400)]
+    texts = [None, "", " \t", "one", "One", "one two", "two one", "a b c d e", "a b c d e " * 30000]
+    for k in range(25):
+        base = [rng.choice(words) for _ in range(rng.choice([8, 60, 200, 900]))]
+        texts += [" ".join(base), " ".join(base).upper(), " ".join(rng.sample(base, len(base)))]
+        for share in (0.004, 0.01, 0.02, 0.05) * (5 if k % 6 == 0 else 1):
+            texts.append(" ".join("x%d" % k if rng.random() < share else w for w in base))
+    rng.shuffle(texts)
+    rows = [(i if i % 19 != 7 else None, t, i, i) for i, t in enumerate(texts)]
+    rows += rows[:3]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key long, first long")
+    got = simhash.keep_first(docs)
+    assert got.columns == docs.columns
+    got = [tuple(r) for r in got.collect()]
+    assert sorted(got, key=str) == sorted(plain_near(rows), key=str) and len(texts) / 4 < len(got) < len(texts) - 40
+    assert simhash.keep_first(docs.limit(0)).count() == 0
