@@ -200,11 +200,17 @@ def _similar_texts(texts: DataFrame, marked: DataFrame, star: int = STAR) -> Dat
     spread = texts.where(F.col("size") > 0).repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = spread.select(F.lit(0).cast("long").alias("key"), F.col("key").alias("text"), F.posexplode("fps").alias("print", "fp")).withColumn("rest", F.col("fp"))
     own = F.col("key").bitwiseOR(F.shiftleft(F.col("print").cast("long"), 40))
+    at = F.shiftright("key", 32).bitwiseAND(F.lit(63)).cast("int")
+    bit = F.call_function("shiftrightunsigned", F.col("fp"), at).bitwiseAND(F.lit(1))
     keyed = _variants(rows, 64, "text", "print").select(own.alias("key"), "text", "fp")
-    groups = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("text").alias("a"), F.max("text").alias("b")).where(F.col("n") > 1))
+    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("text").alias("a"), F.max("text").alias("b"), F.sum(bit).alias("ones"))
+    # texts that agree in a whole half share all its variants: the first one is enough, and others count where their bit differs
+    differ = (F.col("ones") > 0) & (F.col("ones") < F.col("n"))
+    groups = cut(groups.where((F.col("n") > 1) & (differ | (at % 32 == 0))).select("key", "n", "a", "b"))
     found = groups.where(F.col("n") == 2).select("a", "b")
-    members = keyed.join(groups.where(F.col("n") > 2).select("key", "n").hint("merge"), "key")
-    members = cut(members.join(texts.select(F.col("key").alias("text"), "size", "sketch").hint("merge"), "text"))
+    members = keyed.select("key", "text").join(groups.where(F.col("n") > 2).select("key", "n").hint("merge"), "key")
+    members = members.join(texts.select(F.col("key").alias("text"), "fps", "size", "sketch").hint("merge"), "text")
+    members = cut(members.withColumn("fp", F.element_at("fps", F.shiftright("key", 40).cast("int") + 1)).drop("fps"))
     few, many = members.where(F.col("n") <= star), members.where(F.col("n") > star)
     found = found.unionByName(_pairs(few, few, F.col("text_a") < F.col("text_b")))
     shared = many.groupBy("text").agg(F.sum("n").alias("shared"))
