@@ -149,14 +149,18 @@ def features(text: str | None, size: int = NEAR_SHINGLE, prints: int = PRINTS) -
         rows = [b"".join([xxhash.xxh64_digest(w, SEED + k) for k in range(prints)]) for w in distinct[at : at + _STEP]]
         bits = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
         counts += np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int64)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate([[0], ends])[: max(1, len(words) - size + 1)].tolist()
-    stops = (ends[min(size, len(words)) - 1 :] - 1).tolist()
-    digest = xxhash.xxh32_intdigest
-    shingles = np.unique(np.fromiter((digest(line[s:e], SEED) for s, e in zip(starts, stops, strict=True)), np.uint32, len(starts)))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts, stops = np.concatenate([[0], ends])[: max(1, len(words) - size + 1)], ends[min(size, len(words)) - 1 :] - 1
+    n_distinct, digest = len(distinct), xxhash.xxh32_intdigest
+    del words, distinct  # of a long text, each list of objects is many times its bytes
+    shingles = np.empty(len(starts), np.uint32)
+    for at in range(0, len(starts), _STEP):
+        some = zip(starts[at : at + _STEP].tolist(), stops[at : at + _STEP].tolist(), strict=True)
+        shingles[at : at + _STEP] = [digest(line[s:e], SEED) for s, e in some]
+    shingles = np.unique(shingles)
     sketch = np.zeros(SKETCH, np.uint8)
     sketch[shingles % SKETCH] = 1
-    packed = [np.packbits(b).view(">i8").tolist() for b in (counts * 2 > len(distinct), sketch)]
+    packed = [np.packbits(b).view(">i8").tolist() for b in (counts * 2 > n_distinct, sketch)]
     return out | {"fps": packed[0], "shingles": shingles.view(np.int32), "sketch": packed[1]}
 
 
