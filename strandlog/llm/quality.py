@@ -3,7 +3,7 @@
 Trusted positives and unlabelled web text train an additive logistic model under the non-negative unbiased risk: the
 negative class's risk is what the unlabelled texts have beyond the positives' share, and it is never pushed below zero. The
 class prior is estimated first, from positives and unlabelled texts alone. A text is described by its shape (binned) and by
-the words it holds (hashed).
+all the words it holds (hashed).
 """
 
 from __future__ import annotations
@@ -22,8 +22,11 @@ from strandlog.llm.common import held_out, map_rows, table
 #: About so many positives and unlabelled texts are learned from: those whose id's hash lies below a cutoff (see sample).
 POSITIVES, UNLABELLED = 8_000, 16_000
 BINS = 24
-#: Hashed words: weights, words of a text that count (the ones with the smallest hashes), the least texts of the sample a word is in.
-WORDS, DISTINCT, LEAST_TEXTS = 1 << 13, 256, 20
+#: Hashed words: weights, the most that a text can have (all of them), the least texts of the sample a word is in.
+WORDS = DISTINCT = 1 << 13
+LEAST_TEXTS = 20
+#: Hashed words of texts that are spread out together (memory only, never results).
+TOGETHER = 1 << 20
 EPOCHS, BATCH, RATE, DECAY, WORD_DECAY = 40, 2_048, 0.03, 1e-3, 1e-3
 CUT = 0.7
 
@@ -61,11 +64,24 @@ def features(text: str | None) -> list[float]:
 
 
 def content(text: str | None) -> np.ndarray:
-    """Distinct hashed words of a whole text, ascending: the DISTINCT smallest of a second hash where there are more."""
+    """Distinct hashed words of a whole text, ascending."""
     found = np.array([zlib.crc32(w) for w in set((text or "").lower().encode().split())], np.int64)
-    if len(found) > DISTINCT:
-        found = found[np.argpartition(found * 0x9E3779B1 % (1 << 32), DISTINCT)[:DISTINCT]]
-    return np.unique(found % WORDS)
+    return np.unique(found % WORDS).astype(np.uint16)
+
+
+def packed(words: np.ndarray) -> bytes:
+    """Hashed words as a list or, where that is shorter, as one bit for each of DISTINCT."""
+    if len(words) < DISTINCT // 16:
+        return words.astype("<u2").tobytes()
+    bits = np.zeros(DISTINCT, np.uint8)
+    bits[words] = 1
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if len(data) < DISTINCT // 8:
+        return np.frombuffer(data, "<u2")
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8))).astype(np.uint16)
 
 
 @dataclass(frozen=True)
@@ -78,7 +94,8 @@ class Sample:
 
     @classmethod
     def of(cls, x, words: list[np.ndarray]) -> Sample:
-        return cls(np.array(x, float).reshape(-1, len(FEATURES)), np.concatenate([np.zeros(0, np.int64), *words]), np.array([len(w) for w in words], np.int64))
+        joined = np.concatenate([np.zeros(0, np.uint16), *words], dtype=np.uint16, casting="unsafe")
+        return cls(np.array(x, float).reshape(-1, len(FEATURES)), joined, np.array([len(w) for w in words], np.int64))
 
     def __len__(self) -> int:
         return len(self.x)
@@ -89,6 +106,14 @@ class Sample:
         place = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
         return Sample(self.x[at], self.words[place], size)
 
+    def parts(self, at: np.ndarray) -> list[np.ndarray]:
+        """The rows `at` in order, cut wherever their words pass a multiple of TOGETHER."""
+        return np.split(at, np.flatnonzero(np.diff(np.cumsum(self.sizes[at]) // TOGETHER)) + 1)
+
+    def shape(self) -> Sample:
+        """The texts without their words."""
+        return Sample(self.x, np.zeros(0, np.uint16), np.zeros(len(self), np.int64))
+
 
 @dataclass(frozen=True)
 class Model:
@@ -104,22 +129,34 @@ class Model:
         rows, value = np.arange(len(some)), 1 / np.sqrt(np.maximum(some.sizes, 1))
         first = len(self.edges) * (BINS + 1)
         return (
-            np.concatenate([bins.ravel(), some.words + first, np.full(len(some), len(self.weights) - 1)]),
+            np.concatenate([bins.ravel(), some.words.astype(np.int64) + first, np.full(len(some), len(self.weights) - 1)]),
             np.concatenate([np.repeat(rows, len(self.edges)), np.repeat(rows, some.sizes), rows]),
             np.concatenate([np.ones(bins.size), np.repeat(value, some.sizes), np.ones(len(some))]),
         )
 
+    def spread(self, some: Sample, at: np.ndarray):
+        """A function that gives the columns of the rows `at` part by part; one part is kept, more are made again on each call."""
+        parts = some.parts(at)
+        if len(parts) > 1:
+            return lambda: (self.columns(some.take(a)) for a in parts)
+        one = [self.columns(some.take(at))]
+        return lambda: one
+
     def logit(self, some: Sample) -> np.ndarray:
-        column, row, value = self.columns(some)
-        return np.clip(np.bincount(row, self.weights[column] * value, len(some)), -30, 30)
+        return logits(self.weights, self.spread(some, np.arange(len(some)))())
 
     def score(self, some: Sample) -> np.ndarray:
         return 1 / (1 + np.exp(-self.logit(some)))
 
 
-def blank(both: Sample, prior: float) -> Model:
-    """The model before training: bins by the sample's quantiles, every score equal to the prior."""
-    x = both.x if len(both) else np.zeros((1, len(FEATURES)))
+def logits(weights: np.ndarray, columns) -> np.ndarray:
+    """Of all rows, from the columns of each part; the bias gives every row a column."""
+    return np.concatenate([np.clip(np.bincount(r, weights[c] * x), -30, 30) for c, r, x in columns])
+
+
+def blank(x: np.ndarray, prior: float) -> Model:
+    """The model before training: bins by the quantiles of the sample's shape features, every score equal to the prior."""
+    x = x if len(x) else np.zeros((1, len(FEATURES)))
     edges = np.quantile(x, np.linspace(0, 1, BINS + 1)[1:], axis=0).T + 0.0
     weights = np.zeros(edges.shape[0] * (BINS + 1) + WORDS + 1)
     weights[-1] = math.log(prior / (1 - prior))
@@ -139,25 +176,22 @@ def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[fl
 
 def train(positive: Sample, unlabelled: Sample, prior: float, epochs: int = EPOCHS, seed: int = 7) -> Model:
     """Minimises the non-negative risk by Adam over batches that hold positives and unlabelled texts in their proportion."""
-    both = Sample(*(np.concatenate([getattr(positive, n), getattr(unlabelled, n)]) for n in ("x", "words", "sizes")))
-    model = blank(both, prior)
+    sides = (positive, unlabelled)
+    model = blank(np.concatenate([s.x for s in sides]), prior)
     if not len(positive) or not len(unlabelled):
         return model
     rng, w = np.random.default_rng(seed), model.weights
-    common = np.bincount(both.words, minlength=WORDS) >= LEAST_TEXTS
+    common = sum(np.bincount(s.words[i : i + TOGETHER], minlength=WORDS) for s in sides for i in range(0, max(1, len(s.words)), TOGETHER)) >= LEAST_TEXTS
     free = np.concatenate([np.ones(len(w) - WORDS - 1, bool), common, [True]])  # rare words keep weight zero
     decay = np.concatenate([np.full(len(w) - WORDS - 1, DECAY), np.full(WORDS, WORD_DECAY), [0.0]])
     m, v, step = np.zeros_like(w), np.zeros_like(w), 0
-    batches = max(1, -(-len(both) // BATCH))
+    batches = max(1, -(-(len(positive) + len(unlabelled)) // BATCH))
     for _ in range(epochs):
-        parts = [np.array_split(rng.permutation(len(s)), min(batches, len(s))) for s in (positive, unlabelled)]
+        parts = [np.array_split(rng.permutation(len(s)), min(batches, len(s))) for s in sides]
         for k in range(batches):
-            at = [p[k % len(p)] for p in parts]
-            some = [s.take(a) for s, a in zip((positive, unlabelled), at, strict=True)]
-            columns = [model.columns(s) for s in some]
-            logits = [np.clip(np.bincount(r, w[c] * x, len(s)), -30, 30) for s, (c, r, x) in zip(some, columns, strict=True)]
-            _, *slopes = risk(*logits, prior)
-            g = sum(np.bincount(c, slope[r] * x, len(w)) for slope, (c, r, x) in zip(slopes, columns, strict=True))
+            columns = [model.spread(s, p[k % len(p)]) for s, p in zip(sides, parts, strict=True)]
+            _, *slopes = risk(*(logits(w, c()) for c in columns), prior)
+            g = sum(_slope(slope, c(), len(w)) for slope, c in zip(slopes, columns, strict=True))
             g = (g + decay * w) * free
             step += 1
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -165,6 +199,15 @@ def train(positive: Sample, unlabelled: Sample, prior: float, epochs: int = EPOC
     return Model(model.edges, w, prior)
 
 
+def _slope(of: np.ndarray, columns, size: int) -> np.ndarray:
+    """The step's direction for each weight, from that for each row's logit."""
+    out, at = np.zeros(size), 0
+    for c, r, x in columns:
+        out += np.bincount(c, of[r + at] * x, size)
+        at += r[-1] + 1
+    return out
+
+
 def estimate_prior(positive: Sample, unlabelled: Sample) -> float:
     """The share of positives among the unlabelled texts, from these two samples alone.
 
@@ -175,6 +218,7 @@ def estimate_prior(positive: Sample, unlabelled: Sample) -> float:
     """
     if len(positive) < 4 or len(unlabelled) < 4:
         return 0.5
+    positive, unlabelled = positive.shape(), unlabelled.shape()
     halves = [[np.arange(len(s))[k::2] for k in (0, 1)] for s in (positive, unlabelled)]
     # logistic regression of positives against unlabelled texts: the same learner where no unlabelled text counts as positive
     learned = _separate(positive.take(halves[0][0]), unlabelled.take(halves[1][0]))
@@ -188,9 +232,8 @@ def estimate_prior(positive: Sample, unlabelled: Sample) -> float:
 
 def _separate(positive: Sample, unlabelled: Sample, rounds: int = 150) -> Model:
     """Plain logistic regression on shape features, both sides with equal weight."""
-    both = Sample(*(np.concatenate([getattr(positive, n), getattr(unlabelled, n)]) for n in ("x", "words", "sizes")))
-    model = blank(both, 0.5)
-    sides = [model.columns(Sample(s.x, np.zeros(0, np.int64), np.zeros(len(s), np.int64))) for s in (positive, unlabelled)]
+    model = blank(np.concatenate([positive.x, unlabelled.x]), 0.5)
+    sides = [model.columns(s.shape()) for s in (positive, unlabelled)]
     w = model.weights
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
@@ -216,12 +259,12 @@ def _collect(rows: DataFrame) -> Sample:
     """Described rows of a bounded sample, one for each id (repeated ids: the smallest description), in the order of ids."""
 
     def make():
-        return lambda cols: {"doc_id": cols["doc_id"], "x": [features(t) for t in cols["text"]], "words": [content(t).astype("<u2").tobytes() for t in cols["text"]]}
+        return lambda cols: {"doc_id": cols["doc_id"], "x": [features(t) for t in cols["text"]], "words": [packed(content(t)) for t in cols["text"]]}
 
     described = map_rows(rows.select("doc_id", "text"), make, "doc_id long, x array<double>, words binary")
     one = described.groupBy("doc_id").agg(F.min(F.struct("x", "words")).alias("d")).select("doc_id", "d.x", "d.words")
     got = sorted(one.collect(), key=lambda r: r["doc_id"])
-    return Sample.of([r["x"] for r in got], [np.frombuffer(r["words"], "<u2").astype(np.int64) for r in got])
+    return Sample.of([r["x"] for r in got], [unpacked(r["words"]) for r in got])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:

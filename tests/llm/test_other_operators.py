@@ -186,6 +186,26 @@ def test_quality_words():
     assert some.take(np.array([2, 0])).words.tolist() == [5, 6, 0, 1, 2]
 
 
+def test_quality_all_words(spark, monkeypatch):
+    """Every word of a long text has its weight in the score and in learning, however the memory is cut."""
+    words = [f"w{i}" for i in range(3000)]
+    assert quality.content(" ".join(words)).tolist() == sorted({zlib.crc32(w.encode()) % quality.WORDS for w in words})
+    texts = [" ".join(words[:n]) for n in (0, 1, 511, 512, 560, 3000)]
+    seen = quality._collect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert seen.words.tolist() == [w for t in texts for w in quality.content(t)]
+    model = quality.blank(seen.x, 0.5)
+    for w in (words[7], words[1500], words[-1]):
+        model.weights[:] = 0
+        model.weights[len(model.edges) * (quality.BINS + 1) + zlib.crc32(w.encode()) % quality.WORDS] = 9
+        assert quality.score(spark.createDataFrame([(1, texts[-1])], "doc_id long, text string"), model).first()["score"] > 0.51
+    monkeypatch.setattr(quality, "LEAST_TEXTS", 1)
+    whole = quality.train(seen, seen.take(np.array([3, 5])), 0.6, epochs=3)
+    scores = whole.score(seen)
+    monkeypatch.setattr(quality, "TOGETHER", 600)
+    assert len(seen.parts(np.arange(6))) > 2
+    assert np.allclose(quality.train(seen, seen.take(np.array([3, 5])), 0.6, epochs=3).weights, whole.weights) and np.allclose(whole.score(seen), scores)
+
+
 def test_topk_prunes():
     """Full scores only for entries that a slice has handed in, and no product for entries whose norm can't reach the share."""
     rng = np.random.default_rng(9)
