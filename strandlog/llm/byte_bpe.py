@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import map_rows, table
+from strandlog.llm.common import keeps, map_rows, table
 
 #: Entries of a memo table, which is emptied when full: speed only, never results.
 MEMO = 200_000
@@ -179,6 +179,9 @@ def load(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(ranks, pattern)
 
 
+keeps(__name__, load.cache_clear)
+
+
 def default_vocabulary() -> tuple[str, str]:
     import public_tokenizers
 

@@ -28,7 +28,7 @@ EPOCHS, BATCH, RATE = 4, 128, 0.3
 #: Words of a text run that are processed side by side, and memoised words of a worker (speed only).
 STEP, MEMO = 96, 200_000
 #: Characters of texts labelled together, and words of a longer text held at a time.
-TOGETHER, BLOCK = 1_500_000, 250_000
+TOGETHER, BLOCK = 500_000, 250_000
 UNDETERMINED = "und"
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 #: Rows of the hashed weight table; the first ones are kept for word length and lexicon labels.

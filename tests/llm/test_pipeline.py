@@ -11,7 +11,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from strandlog.llm import byte_bpe, langid, pii
+from strandlog.llm import byte_bpe, common, langid, pii
 
 WORDS = {
     "aa": "alpha arbor amber adage along abide again award azure actor annex apron aisle alert album arrow",
@@ -46,6 +46,17 @@ def corpus(seed):
     return rows, items
 
 
+def test_worker_memory():
+    """A worker that goes from one operator to another drops what only the first one uses, and keeps it between tasks of one."""
+    path, pattern = byte_bpe.default_vocabulary()
+    with common.task(byte_bpe.__name__):
+        first = byte_bpe.load(path, pattern)
+    with common.task(byte_bpe.__name__):
+        assert byte_bpe.load(path, pattern) is first
+    with common.task(langid.__name__):
+        assert byte_bpe.load.cache_info().currsize == 0
+
+
 def plain_language(rows, model, least):
     """Each text by itself, forward and backward word by word."""
     kept, k = [], len(model.langs)
